@@ -48,7 +48,7 @@ _FIELD = r"""("(?:[^"]|"")*"|[^"\t]*)"""
 _SPLIT = rf"""
     WITH l AS (SELECT line_id, regexp_replace(coalesce(line, ''), '\r\z', '') AS line FROM raw_log_lines),
     q AS (SELECT line_id, NOT regexp_full_match(line, '(?s){_FIELD}(\t{_FIELD})*') AS broken, regexp_extract_all(chr(9) || line, '(?s)\t{_FIELD}', 1) AS raw FROM l),
-    f AS (SELECT line_id, broken, list_transform(raw, x -> CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM q),
+    f AS (SELECT line_id, broken, list_transform(raw, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM q),
     r AS (SELECT line_id, f, CASE
         WHEN broken THEN 'quoting' WHEN len(f) <> 9 THEN 'column_count'
         WHEN NOT regexp_full_match(f[1], '0*[1-9][0-9]*') OR len(f[1]) > 18 THEN 'participant_id'
