@@ -63,16 +63,16 @@ def recluster(centroids: DataFrame, keys: list[str], size: int = SIZE) -> DataFr
     return gathered.select(*keys, F.transform("d", lambda c: _centroid(c["mean"], c["w"], c["lo"], c["hi"], c["before"])).alias("digest"))
 
 
-def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE, parts: int = 64) -> DataFrame:
+def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE, parts: int = 64, spread: tuple[str, ...] = ()) -> DataFrame:
     """(keys, digest): all digests of a group merged into one by clustering their centroids again.
 
-    A group is merged in ``parts`` first (by a hash of the centroids), so one that holds a third of all rows is spread;
+    A group is merged in ``parts`` first (by a hash of the digests and the columns ``spread``), so one that holds a third of all rows is spread;
     the second step sees at most ``parts`` * (``size`` + 1) centroids of a group. Null and empty digests add nothing.
     """
-    flat = digests.select(*keys, F.explode("digest").alias("c")).select(*keys, "c.mean", "c.w", "c.lo", "c.hi")
+    part = F.pmod(F.xxhash64(*spread, "digest", "_at"), F.lit(parts)).cast("int")
+    flat = digests.select("*", F.posexplode("digest").alias("_at", "c")).select(*keys, part.alias("_part"), "c.mean", "c.w", "c.lo", "c.hi")
     if parts > 1:
-        split = flat.withColumn("_part", F.pmod(F.xxhash64("mean", "w", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
-        flat = recluster(split, [*keys, "_part"], size).select(*keys, F.explode("digest").alias("c")).select(*keys, "c.mean", "c.w", "c.lo", "c.hi")
+        flat = recluster(flat, [*keys, "_part"], size).select(*keys, F.explode("digest").alias("c")).select(*keys, "c.mean", "c.w", "c.lo", "c.hi")
     return recluster(flat, keys, size)
 
 
