@@ -86,8 +86,8 @@ def serialize(events: str, previous_press: Column | None = None) -> Column:
 
 def parse_tokens(streams: DataFrame, key: str, text: str) -> DataFrame:
     """(key, seq, type, press, release, ch, pos, sel_start, sel_end): events of the streams that keep the grammar; see ``grammar_errors``."""
-    good = streams.join(grammar_errors(streams, key, text).filter("error is not null"), key, "left_anti")
-    tokens = good.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))).alias("i", "t"))
+    sound = F.when(grammar_error(F.col(text)).isNull(), F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)))
+    tokens = streams.select(key, F.posexplode_outer(sound).alias("i", "t")).filter("t is not null")
     order = W.partitionBy(key).orderBy("i")
     gap = F.when(F.col("t").startswith("<DT:"), F.regexp_extract("t", r"<DT:(\d+)>", 1).cast("int"))
     timed = tokens.withColumn("gap", gap).withColumn("press", F.coalesce(F.sum(from_bin(F.col("gap"))).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))).filter("gap is null")
@@ -108,17 +108,27 @@ def parse_tokens(streams: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def grammar_errors(streams: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, error): stray text, two gaps in a row, an event without a gap before it, a gap at the end, a bin out of range; null if sound."""
+def grammar_error(text: Column) -> Column:
+    """The first thing wrong with a stream: stray text, a bin out of range, two gaps in a row, an event without a gap before it, or a gap at the end.
+
+    One pass over the tokens with one state; the list of tokens is named once, so it is made once however the plan is rewritten.
+    """
+
+    def step(s: Column, t: Column) -> Column:
+        gap = t.startswith("<DT:")
+        bad_bin = F.coalesce(F.regexp_extract(t, r"<(?:DT|BKSP|SPC|NL|TAB|LT|GT|[^<>]):(\d+)>", 1).try_cast("int") >= TIME_BINS, t.rlike(r"<(?:DT|BKSP|SPC|NL|TAB|LT|GT|[^<>]):\d{10,}>"))
+        err = F.when(bad_bin, "bin_range").when(s["gap"] & gap, "double_gap").when(~s["gap"] & ~gap, "missing_gap")
+        return F.struct(gap.alias("gap"), F.coalesce(s["err"], err).alias("err"))
+
+    start = F.struct(F.lit(None).cast("boolean").alias("gap"), F.lit(None).cast("string").alias("err"))
     tokens = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    stray = F.length(F.regexp_replace(text, TOKEN, "")) > 0
-    listed = streams.select(key, stray.alias("stray"), tokens.alias("t"))
-    gap = lambda x: x.startswith("<DT:")
-    pairs = F.transform("t", lambda x, i: F.when(gap(x), F.when(gap(F.get("t", i - 1)), "double_gap")).when((i > 0) & ~gap(F.get("t", i - 1)), "missing_gap"))
-    wrong = F.exists("t", lambda x: ~F.coalesce(F.regexp_extract(x, r"(?:DT|BKSP|SPC|NL|TAB|LT|GT|[^<>]):(\d+)>\z", 1).try_cast("int") < TIME_BINS, F.lit(True)))
-    first = F.get(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0))
-    last = F.get("t", F.size("t") - 1)
-    return listed.select(key, F.when(F.col("stray"), "stray_text").when(wrong, "bin_range").otherwise(F.coalesce(first, F.when(last.startswith("<DT:"), "dangling_gap"))).alias("error"))
+    walked = F.aggregate(tokens, start, step, lambda s: F.coalesce(s["err"], F.when(s["gap"], "dangling_gap")))
+    return F.when(F.length(F.regexp_replace(text, TOKEN, "")) > 0, "stray_text").otherwise(walked)
+
+
+def grammar_errors(streams: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, error), null for sound streams."""
+    return streams.select(key, grammar_error(F.col(text)).alias("error"))
 
 
 def sound_prefix(text: Column) -> Column:

@@ -89,8 +89,8 @@ def histogram_medians(events: DataFrame) -> DataFrame:
 
 def text_bigrams(texts: DataFrame, text: str) -> DataFrame:
     """(key_a, key_b, n) of neighbouring layout keys in texts."""
-    at = F.sequence(F.lit(1), F.length(text) - 1)
-    pairs = texts.filter(F.length(text) > 1).select(F.explode(F.transform(at, lambda i: F.substr(F.col(text), i, F.lit(2)))).alias("p")).filter(F.col("p").rlike(r"\A[a-z ]{2}\z"))
+    chars = F.split(text, "")
+    pairs = texts.filter(F.length(text) > 1).select(F.explode(F.zip_with(chars, F.slice(chars, F.lit(2), F.lit(2**30)), F.concat)).alias("p")).filter(F.col("p").rlike(r"\A[a-z ]{2}\z"))
     return pairs.groupBy(F.left("p", F.lit(1)).alias("key_a"), F.right("p", F.lit(1)).alias("key_b")).agg(F.count("*").alias("n"))
 
 

@@ -92,7 +92,9 @@ def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
     order = W.partitionBy(*keys).orderBy("seq")
     whole = W.partitionBy(*keys)
     base = events.select(*keys, "seq", "press", "release", "ch").withColumns({"_next": F.lead("press").over(order), "i": F.row_number().over(order) - 1})
-    rows = base.filter("_next is not null").withColumns({"x": F.log1p(F.greatest(F.col("_next") - F.col("press"), F.lit(0.0))), "h": F.log1p(F.greatest(F.col("release") - F.col("press"), F.lit(0.0)))})
+    # To the nanosecond: sums of bin centres would otherwise break ties with the median by their rounding.
+    gap = F.round(F.col("_next") - F.col("press"), 6)
+    rows = base.filter("_next is not null").withColumns({"x": F.log1p(F.greatest(gap, F.lit(0.0))), "h": F.log1p(F.greatest(F.col("release") - F.col("press"), F.lit(0.0)))})
     rows = rows.withColumns({f"x{k}": F.lead("x", k).over(order) for k in (1, 2, 3)} | {"n": F.count("*").over(whole), "med": F.percentile("x", 0.5).over(whole)})
     rows = rows.withColumns({"fast": F.col("x") <= F.col("med"), "next_fast": F.col("x1") <= F.col("med"), "half": F.col("i") < F.floor(F.col("n") / 2), "block": F.floor(F.col("i") / 8), "spaced": F.coalesce(F.col("ch") == " ", F.lit(False))})
     local = rows.groupBy(*keys, "block").agg(F.stddev_pop("x").alias("s"), F.count("*").alias("c"))

@@ -12,17 +12,17 @@ TRANSCRIPTION = {
     "PRESS_TIME": "press_time", "RELEASE_TIME": "release_time", "LETTER": "letter", "KEYCODE": "keycode",
 }
 COMPOSITION = {
-    "EventID": "row_no", "DownTime": "down_time", "UpTime": "up_time", "ActionTime": "action_time", "DownEvent": "down_event", "UpEvent": "up_event", "TextChange": "text_change",
-    "Activity": "activity", "CursorPosition": "cursor_position", "WordCount": "word_count",
+    "_c0": "row_no", "DownTime": "down_time", "UpTime": "up_time", "ActionTime": "action_time", "DownEvent": "down_event", "UpEvent": "up_event", "TextChange": "text_change",
+    "Activity": "activity", "CursorPosition": "cursor_position", "PauseTime": "pause_time", "WordCount": "word_count",
 }
 ANNOTATED = {
-    "user_id": "writer", "sentence_n": "session_id", "stimulus": "target", "current_input": "submitted", "input_time": "input_time", "input": "input", "key_symbol": "key_symbol", "finger": "finger",
+    "_c0": "row_no", "user_id": "writer", "stimulus_id": "session_id", "stimulus": "target", "current_input": "submitted", "input_time": "input_time", "input": "input", "key_symbol": "key_symbol", "finger": "finger",
 }
 PARTICIPANT = {"PARTICIPANT_ID": "participant_id", "KEYBOARD_TYPE": "keyboard_type", "NATIVE_LANGUAGE": "native_language"}
 #: Columns that are numbers; a value that is none becomes null.
 NUMBERS = {
     "participant_id": "long", "test_section_id": "long", "keystroke_id": "long", "press_time": "long", "release_time": "long", "keycode": "int", "row_no": "long", "down_time": "long",
-    "up_time": "long", "action_time": "long", "cursor_position": "long", "word_count": "long", "input_time": "double",
+    "up_time": "long", "action_time": "long", "cursor_position": "long", "word_count": "long", "pause_time": "long", "input_time": "double",
 }
 
 
@@ -62,13 +62,12 @@ def file_stem(file_name: Column) -> Column:
 def read_composition(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """Comma-separated editing logs with quoting; the writer is the file's stem."""
     raw = _delimited(spark, path, ",", True, glob, COMPOSITION)
-    return raw.withColumn("writer", file_stem(F.col("file_name"))).withColumn("log_id", F.xxhash64("file_path") * 0 + F.coalesce("row_no", F.monotonically_increasing_id()))
+    return raw.withColumns({"writer": file_stem(F.col("file_name")), "log_id": F.col("row_no")})
 
 
 def read_annotated(spark: SparkSession, path: str | list[str], glob: str = "*_matched.txt") -> DataFrame:
-    """Tab-separated annotated logs with doubled quotes, columns by name; ``row_no`` keeps the order of the file."""
-    raw = _delimited(spark, path, "\t", True, glob, ANNOTATED)
-    return raw.withColumn("row_no", F.monotonically_increasing_id())
+    """Tab-separated annotated logs with doubled quotes, columns by name; ``row_no`` is the unnamed counter of the file."""
+    return _delimited(spark, path, "\t", True, glob, ANNOTATED)
 
 
 REVISION = T.StructType(
@@ -155,12 +154,12 @@ def resolve_split(spark: SparkSession, bound: str | None, explicit: str | None,
 
 
 def read_training_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line_no-less rows) step, total and the numbers of loss records in a training log; lines with neither are left out."""
+    """(step, total, loss, entropy, mean_token_accuracy, epoch): progress bars and loss records in a training log; lines with neither are left out."""
     line = F.col("value")
     number = lambda k: F.regexp_extract(line, rf"'{k}': '?([-+0-9.eE]+)", 1).try_cast("double").alias(k)
-    step = F.regexp_extract(line, r"(\d+)/(\d+) \[", 1).try_cast("long").alias("step")
-    total = F.regexp_extract(line, r"(\d+)/(\d+) \[", 2).try_cast("long").alias("total")
-    return spark.read.text(path).select(step, total, number("loss"), number("learning_rate"), number("epoch")).filter("step is not null or loss is not null")
+    step = F.regexp_extract(line, r"\| (\d+)/(\d+) \[", 1).try_cast("long").alias("step")
+    total = F.regexp_extract(line, r"\| (\d+)/(\d+) \[", 2).try_cast("long").alias("total")
+    return spark.read.option("lineSep", "\n").text(path).select(step, total, *map(number, ("loss", "entropy", "mean_token_accuracy", "epoch"))).filter("step is not null or loss is not null")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
