@@ -66,7 +66,7 @@ def best_candidates(candidates: DataFrame, features: list[str], model: GBTClassi
 def writer_identification(rows: DataFrame, features: list[str], writer: str = "writer", least: int = 3, folds: int = 3, trees: int = 50, seed: int = 0) -> DataFrame:
     """(fold, n, accuracy) of naming the writer among those with at least ``least`` sessions."""
     many = rows.groupBy(writer).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(writer)
-    kept = rows.join(many, writer, "left_semi")
+    kept = rows.drop("label").join(many, writer, "left_semi")
     indexed = StringIndexer(inputCol="_w", outputCol="label").fit(k := kept.withColumn("_w", F.col(writer).cast("string"))).transform(k)
     data = assembled(with_folds(indexed, [c for c in ("writer", "session_id") if c in rows.columns] or [writer], folds, seed), features).select("fold", "label", "_x").persist()
     parts = []

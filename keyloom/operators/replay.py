@@ -80,8 +80,9 @@ class TextBuffer:
             self.left.extend(reversed(self.right[len(self.right) - n :]))
             del self.right[len(self.right) - n :]
 
-    def apply(self, kind: str | None, ch: str | None, pos: int | None, a: int | None, b: int | None) -> str | None:
-        """Why the event cannot be applied, or None after applying it."""
+    def apply(self, kind: str | None, ch: str | None, pos: float | None, a: float | None, b: float | None) -> str | None:
+        """Why the event cannot be applied, or None after applying it. Offsets may come as floats with NaN for null, as pandas has them."""
+        pos, a, b = (None if x is None or x != x else int(x) for x in (pos, a, b))
         if kind == "key":
             if ch is None or len(ch) != 1:
                 return "key without one character"
