@@ -89,8 +89,8 @@ def histogram_medians(events: DataFrame) -> DataFrame:
 
 def text_bigrams(texts: DataFrame, text: str) -> DataFrame:
     """(key_a, key_b, n) of neighbouring layout keys in texts."""
-    chars = F.split(text, "")
-    pairs = texts.filter(F.length(text) > 1).select(F.explode(F.zip_with(chars, F.slice(chars, F.lit(2), F.lit(2**30)), lambda a, b: F.concat(a, b))).alias("p")).filter(F.col("p").rlike(r"\A[a-z ]{2}\z"))
+    # A look-ahead matches at every place, so overlapping pairs are all found, and only pairs of layout keys.
+    pairs = texts.select(F.explode(F.regexp_extract_all(text, F.lit("(?=([a-z ]{2}))"), F.lit(1))).alias("p"))
     return pairs.groupBy(F.left("p", F.lit(1)).alias("key_a"), F.right("p", F.lit(1)).alias("key_b")).agg(F.count("*").alias("n"))
 
 

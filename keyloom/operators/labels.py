@@ -63,8 +63,8 @@ def windows(labelled: DataFrame, keys: tuple[str, ...], size: int = WINDOW) -> D
     uncorrected errors are the session's. Sessions whose replay breaks, or without events, give no windows.
     """
     carried = [c for c in labelled.columns if c not in (*keys, "events", "produced", "replay_error", *RATES)]
-    started = window_starts(labelled.filter("replay_error is null and size(events) > 0"), size)
-    cut = started.select(*keys, *carried, F.col("uncorrected_error_rate").alias("_unc"), "events", F.posexplode("starts").alias("window_no", "_s"))
+    sound = F.when(F.col("replay_error").isNull(), window_starts(F.col("events"), size))
+    cut = labelled.select(*keys, *carried, F.col("uncorrected_error_rate").alias("_unc"), "events", F.posexplode_outer(sound).alias("window_no", "_s")).filter("_s is not null")
     first = F.col("window_no") * size
     one = cut.select(
         *keys, *carried, "_unc", "window_no", F.col("_s.text").alias("start_text"), F.col("_s.cursor").alias("start_cursor"),

@@ -25,33 +25,39 @@ def replay(events: Column, start_text: Column | None = None, start_cursor: Colum
     start = F.struct(text0.alias("text"), (F.length(text0) if start_cursor is None else start_cursor).cast("int").alias("cursor"), F.lit(None).cast("string").alias("err"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
 
     def step(s: Column, e: Column) -> Column:
-        text, cur, size = s["text"], s["cursor"], F.length(s["text"])
-        kind = e["type"]
-        err = (
-            F.when(kind.isNull() | ~kind.isin("key", "bksp", "cursor", "seldel"), "unknown type")
-            .when((kind == "key") & (F.coalesce(F.length(e["ch"]), F.lit(0)) != 1), "key without one character")
-            .when((kind == "cursor") & ~F.coalesce(e["pos"].between(F.lit(0), size), F.lit(False)), "cursor outside the text")
-            .when((kind == "seldel") & ~F.coalesce((e["sel_start"] >= 0) & (e["sel_start"] < e["sel_end"]) & (e["sel_end"] <= size), F.lit(False)), "selection outside the text")
-        )
-        new_text = (
-            F.when(kind == "key", F.concat(F.left(text, cur), e["ch"], F.substr(text, cur + 1)))
-            .when((kind == "bksp") & (cur > 0), F.concat(F.left(text, cur - 1), F.substr(text, cur + 1)))
-            .when(kind == "seldel", F.concat(F.left(text, e["sel_start"]), F.substr(text, e["sel_end"] + 1)))
-            .otherwise(text)
-        )
-        new_cur = F.when(kind == "key", cur + 1).when(kind == "bksp", F.greatest(cur - 1, F.lit(0))).when(kind == "cursor", e["pos"]).when(kind == "seldel", e["sel_start"]).otherwise(cur)
-        stopped = s["err"].isNotNull() | err.isNotNull()
-        return F.struct(
-            F.when(stopped, text).otherwise(new_text).alias("text"),
-            F.when(stopped, cur).otherwise(new_cur).cast("int").alias("cursor"),
-            F.coalesce(s["err"], err).alias("err"),
-            F.when(s["err"].isNull() & err.isNotNull(), s["i"]).otherwise(s["at"]).alias("at"),
-            (s["i"] + 1).alias("i"),
-        )
+        new = _applied(s, e)
+        return F.struct(*(new[f].alias(f) for f in ("text", "cursor", "err", "at", "i")))
 
     return F.aggregate(events, start, step, lambda s: F.struct(s["text"].alias("text"), s["cursor"].alias("cursor"), s["err"].alias("err"), s["at"].alias("at")))
 
 
+def _applied(s: Column, e: Column) -> dict[str, Column]:
+    """The fields of state ``s`` (text, cursor, err, at, i) after event ``e``."""
+    text, cur, size = s["text"], s["cursor"], F.length(s["text"])
+    kind = e["type"]
+    err = (
+        F.when(kind.isNull() | ~kind.isin("key", "bksp", "cursor", "seldel"), "unknown type")
+        .when((kind == "key") & (F.coalesce(F.length(e["ch"]), F.lit(0)) != 1), "key without one character")
+        .when((kind == "cursor") & ~F.coalesce(e["pos"].between(F.lit(0), size), F.lit(False)), "cursor outside the text")
+        .when((kind == "seldel") & ~F.coalesce((e["sel_start"] >= 0) & (e["sel_start"] < e["sel_end"]) & (e["sel_end"] <= size), F.lit(False)), "selection outside the text")
+    )
+    new_text = (
+        F.when(kind == "key", F.concat(F.left(text, cur), e["ch"], F.substr(text, cur + 1)))
+        .when((kind == "bksp") & (cur > 0), F.concat(F.left(text, cur - 1), F.substr(text, cur + 1)))
+        .when(kind == "seldel", F.concat(F.left(text, e["sel_start"]), F.substr(text, e["sel_end"] + 1)))
+        .otherwise(text)
+    )
+    new_cur = F.when(kind == "key", cur + 1).when(kind == "bksp", F.greatest(cur - 1, F.lit(0))).when(kind == "cursor", e["pos"]).when(kind == "seldel", e["sel_start"]).otherwise(cur)
+    stopped = s["err"].isNotNull() | err.isNotNull()
+    return {
+        "text": F.when(stopped, text).otherwise(new_text),
+        "cursor": F.when(stopped, cur).otherwise(new_cur).cast("int"),
+        "err": F.coalesce(s["err"], err),
+        "at": F.when(s["err"].isNull() & err.isNotNull(), s["i"]).otherwise(s["at"]),
+        "i": s["i"] + 1,
+    }
+
+
 class TextBuffer:
     """The buffer for Python paths, where each event's surroundings are needed: text left of the caret as a list, right of it reversed."""
 
@@ -135,22 +141,16 @@ def with_pause_classes(sessions: DataFrame, events: str = "events") -> DataFrame
     return sessions.withColumn("classes", classes(events))
 
 
-def window_starts(sessions: DataFrame, size: int = 512, events: str = "events") -> DataFrame:
-    """``sessions`` with ``starts``: array<struct<text, cursor>>, the buffer as each window of ``size`` events begins; null if the replay breaks."""
-    kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("cursor", T.IntegerType())]))
-
-    @F.pandas_udf(kind)
-    def starts(lists: pd.Series) -> pd.Series:
-        out = []
-        for rows in lists:
-            buf, marks = TextBuffer(), []
-            for i, e in enumerate(() if rows is None else rows):
-                if i % size == 0:
-                    marks.append({"text": buf.text, "cursor": buf.cursor})
-                if buf.apply(e["type"], e["ch"], e["pos"], e["sel_start"], e["sel_end"]) is not None:
-                    marks = None
-                    break
-            out.append(None if rows is None else marks)
-        return pd.Series(out)
-
-    return sessions.withColumn("starts", starts(events))
+def window_starts(events: Column, size: int = 512) -> Column:
+    """array<struct<text, cursor>>: the buffer as each window of ``size`` events begins, by one JVM fold; null if the replay breaks."""
+    mark = lambda s: F.array(F.struct(s["text"].alias("text"), s["cursor"].alias("cursor")))
+    start = F.struct(
+        F.lit("").alias("text"), F.lit(0).alias("cursor"), F.lit(None).cast("string").alias("err"), F.lit(-1).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<text:string,cursor:int>>").alias("marks")
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        new = _applied(s, e)
+        marks = F.when(s["i"] % size == 0, F.concat(s["marks"], mark(s))).otherwise(s["marks"])
+        return F.struct(*(new[f].alias(f) for f in ("text", "cursor", "err", "at", "i")), marks.alias("marks"))
+
+    return F.aggregate(events, start, step, lambda s: F.when(s["err"].isNull(), s["marks"]))

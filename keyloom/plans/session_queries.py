@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import bins
-from keyloom.operators import codec, compare, controls, geometry, heldout, readout, signatures, timing, transcription, writer_split
+from keyloom.operators import codec, compare, controls, export, geometry, heldout, readout, signatures, timing, transcription, writer_split
 from keyloom.operators.timing import KEYS
 from keyloom.plans.catalog import query
 from keyloom.plans.sql import ESCAPED, EVENTS, bin_of, center_of, share
@@ -470,3 +470,9 @@ def same_finger_auc(spark: SparkSession, d: str) -> DataFrame:
 @query("layout_reconstruction")
 def layout_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.layout_reconstruction(geometry.digraph_matrix(typed(spark, d))))
+
+
+@query("export_examples")
+def export_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Training examples of all sound sessions on physical keyboards, with sides. Without SQL: the gate's edit distance counts bytes there."""
+    return export.exported(table(spark, d, "keystrokes"), table(spark, d, "participants"))
