@@ -37,13 +37,32 @@ def _named(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, path: str | list[str], sep: str, quoted: bool, glob: str | None, columns: dict[str, str]) -> DataFrame:
-    reader = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("enforceSchema", False)
+    reader = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
     reader = reader.option("quote", '"').option("escape", '"').option("multiLine", True) if quoted else reader.option("quote", "")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return _named(reader.csv(path), columns)
 
 
+def _by_name(spark: SparkSession, path: str | list[str], glob: str, columns: dict[str, str]) -> DataFrame:
+    """Tab-separated files with quoting whose columns may stand elsewhere in each file: every line meets its own file's header.
+
+    The header is the first line of a file in reading order. Fields may hold doubled quotes and tabs, not line ends.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(path)
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.regexp_replace("value", r"\r\z", "")), F.lit(r'\t("(?:[^"]|"")*"|[^\t]*)'), F.lit(1))
+    plain = F.transform(raw, lambda f: F.when(f.startswith('"') & (F.length(f) > 1), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    fields = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("_at"), plain.alias("_f"))
+    heads = fields.groupBy(F.col("file_path").alias("_path")).agg(F.min_by("_f", "_at").alias("_head"), F.min("_at").alias("_first"))
+    body = fields.join(heads, F.col("file_path") == F.col("_path")).filter(F.col("_at") > F.col("_first"))
+    out = []
+    for name, to in columns.items():
+        at = F.array_position("_head", "" if name == "_c0" else name)
+        c = F.nullif(F.when(at > 0, F.get("_f", (at - 1).cast("int"))), F.lit(""))
+        out.append((c.try_cast(NUMBERS[to]) if to in NUMBERS else c).alias(to))
+    return body.select(*out, "file_path", "file_name")
+
+
 def read_transcription(spark: SparkSession, path: str | list[str], glob: str = "*_keystrokes.txt") -> DataFrame:
     """Tab-separated transcription logs without quoting; invalid bytes become U+FFFD, short and long lines are kept, casts that fail give null."""
     return _delimited(spark, path, "\t", False, glob, TRANSCRIPTION)
@@ -67,7 +86,7 @@ def read_composition(spark: SparkSession, path: str | list[str], glob: str = "*.
 
 def read_annotated(spark: SparkSession, path: str | list[str], glob: str = "*_matched.txt") -> DataFrame:
     """Tab-separated annotated logs with doubled quotes, columns by name; ``row_no`` is the unnamed counter of the file."""
-    return _delimited(spark, path, "\t", True, glob, ANNOTATED)
+    return _by_name(spark, path, glob, ANNOTATED)
 
 
 REVISION = T.StructType(
