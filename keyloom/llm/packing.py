@@ -66,21 +66,16 @@ class Plan:
 def _groups(lengths: list[int], counts: dict[int, int], k: int) -> list[list[tuple[int, int]]]:
     """Large items, longest first, in at most k groups of (nearly) equal cardinality, each a list of (length, count)."""
     total = sum(counts[x] for x in lengths)
-    out: list[list[tuple[int, int]]] = []
-    done, left = 0, 0
+    edges = sorted({total * g // k for g in range(k + 1)})
+    out: list[list[tuple[int, int]]] = [[] for _ in edges[1:]]
+    group, at = 0, 0
     for x in sorted(lengths, reverse=True):
         n = counts[x]
         while n:
-            if not left:
-                left = (total * (len(out) + 1)) // k - done if len(out) < k else n
-                out.append([])
-                if not left:
-                    out.pop()
-                    left = n if len(out) >= k else max(1, -(-total // k))
-                    out.append([])
-            part = min(n, left)
-            out[-1].append((x, part))
-            n, left, done = n - part, left - part, done + part
+            part = min(n, edges[group + 1] - at)
+            out[group].append((x, part))
+            n, at = n - part, at + part
+            group += at == edges[group + 1]
     return out
 
 
@@ -198,7 +193,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     row = sized.withColumn("row", F.monotonically_increasing_id())
     spread = row.select("doc_id", "row", "n_tokens", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int"))).alias("piece_no"))
     start = F.col("piece_no").cast("bigint") * capacity
-    items = cut_lineage(spread.select("doc_id", "row", "piece_no", start.alias("token_from"), F.least(F.col("n_tokens") - start, F.lit(capacity)).alias("n_tokens")))
+    items = cut_lineage(spread.select("doc_id", "row", "piece_no", start.alias("token_from"), F.when(F.col("n_tokens").isNotNull(), F.least(F.col("n_tokens") - start, F.lit(capacity))).alias("n_tokens")))
     counts = {r["n_tokens"]: r["n"] for r in items.filter("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     plan = plan_containers(counts, capacity)
     slots = {x: (np.array([s[0] for s in v]), np.array([s[2] for s in v])) for x, v in plan.slots.items()}
