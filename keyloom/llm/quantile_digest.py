@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.session import cut_lineage
+
 #: Clusters of a digest. A cluster holds at most about pi / (2 * SIZE) of a group's values, fewer towards both ends.
 SIZE = 200
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -188,7 +190,9 @@ def key_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTI
     Events that cannot be used (see ``_presses``) have no timing; an empty table gives no rows.
     """
     presses = _presses(events)
-    hot_days = F.broadcast(_hot_days(presses, hot_rows))
+    hot_days = cut_lineage(_hot_days(presses, hot_rows))
+    any_hot = bool(hot_days.head(1))
+    hot_days = F.broadcast(hot_days)
 
     def of_days(how: str, reach: int) -> DataFrame:
         # A day's first gap needs the end of the day before, so that half hour goes with either kind of day.
@@ -196,7 +200,8 @@ def key_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTI
         return presses.join(hot_days, (presses["writer"] == hot_days["writer"]) & (day == hot_days["hot_day"]), how)
 
     calm = _timings(presses, DAY_MS)
-    calm = calm.join(hot_days.withColumnRenamed("writer", "_w"), (F.col("writer") == F.col("_w")) & (F.col("day") == F.col("hot_day")), "left_anti")
+    if any_hot:
+        calm = calm.join(hot_days.withColumnRenamed("writer", "_w"), (F.col("writer") == F.col("_w")) & (F.col("day") == F.col("hot_day")), "left_anti")
     grouped = calm.groupBy("writer", "chunk", "day", "measure", "key_a", "key_b").agg(F.sort_array(F.collect_list("value")).alias("v"))
     cold = with_estimates(grouped.select(*LEAF, "v", digest_of_sorted("v", size).alias("digest")), percentiles)
     ranks = []
@@ -205,6 +210,8 @@ def key_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTI
         ranks.append(_rank_error(below, upto, F.col("n"), F.lit(p)))
     cold = cold.select(*LEAF, "n", "digest", "estimates", F.array_max(F.array(*ranks)).alias("rank_error"))
 
+    if not any_hot:
+        return cold
     near = of_days("left_semi", 0).unionByName(of_days("left_semi", GAP_MS).filter(F.col("press") % DAY_MS >= DAY_MS - GAP_MS)).distinct()
     timed = _timings(near, HOUR_MS).join(hot_days.withColumnRenamed("writer", "_w"), (F.col("writer") == F.col("_w")) & (F.col("day") == F.col("hot_day")), "left_semi")
     single = timed.select(*LEAF, "chunk", F.col("value").alias("mean"), F.lit(1).cast("bigint").alias("w"), F.col("value").alias("lo"), F.col("value").alias("hi"))
