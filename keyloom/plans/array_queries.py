@@ -115,11 +115,11 @@ def window_labels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(windowed(spark, d).select("result_id", "window_no", F.md5(F.col("start_text").cast("binary")).alias("start_text"), "start_cursor", "prev_press", F.size("events").alias("n"), *labels.RATES))
 
 
-@query("window_schedule", f"{_WINDOWED} SELECT result_id, list({_tokens('C')} ORDER BY window_no) AS schedule FROM wl GROUP BY result_id")
+@query("window_schedule", f"{_WINDOWED} SELECT result_id, string_agg({_tokens('C')}, ' ' ORDER BY window_no) AS schedule FROM wl GROUP BY result_id")
 def window_schedule(spark: SparkSession, d: str) -> DataFrame:
     """The label tokens of each session's windows in order."""
     rows = windowed(spark, d).select("result_id", F.struct("window_no", labels.label_tokens(F.lit("composition")).alias("t")).alias("w"))
-    return rows.groupBy("result_id").agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["t"]).alias("schedule"))
+    return rows.groupBy("result_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["t"]), " ").alias("schedule"))
 
 
 _EXAMPLES = f"""{_WINDOWED},
@@ -168,10 +168,10 @@ def label_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("session_stats", f"""{_REPLAYED}, s AS (SELECT result_id, target, ev, z, coalesce(list_max(list_transform(ev, lambda x: greatest(x.press, coalesce(x.release, x.press)))) - list_min(list_transform(ev, lambda x: x.press)), 0.0) AS span FROM f)
-    SELECT result_id, z.t AS produced, z.err AS error, round(1.0 - levenshtein(z.t, target) / greatest(length(target), 1), 3) AS similarity, z.t = target AS exact, round(span, 6) AS span_ms,
+    SELECT result_id, z.t AS produced, z.err AS error, round(1.0 - levenshtein(z.t, target) / greatest(length(target), 1), 3) AS similarity, (z.t = target)::INTEGER AS exact, round(span, 6) AS span_ms,
     round(CASE WHEN span > 0 THEN length(z.t) / 5.0 / (span / 60000.0) ELSE 0.0 END, 6) AS realized_wpm, len(ev)::INTEGER AS n_events, len(list_filter(ev, lambda x: x.type = 'bksp'))::INTEGER AS backspaces FROM s""")
 def session_stats(spark: SparkSession, d: str) -> DataFrame:
-    return signatures.session_stats(results(spark, d), KEY)
+    return signatures.session_stats(results(spark, d), KEY).withColumn("exact", F.col("exact").cast("int"))
 
 
 @query(
