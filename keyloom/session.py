@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +25,25 @@ def build_session(app: str = "keyloom", master: str | None = None, **conf: str)
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return with_package(builder.getOrCreate())
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers can import this package wherever they run.
+
+    Workers get its folder in their search path; on a cluster, which may not share that folder, also a zip of the package.
+    """
+    root, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    path = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) not in path:
+        context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, path)])
+        if not context.master.startswith("local"):
+            archive = os.path.join(tempfile.mkdtemp(prefix="keyloom-package-"), "keyloom.zip")
+            with zipfile.ZipFile(archive, "w") as z:
+                for p in sorted((root / "keyloom").rglob("*.py")):
+                    z.write(p, p.relative_to(root))
+            context.addPyFile(archive)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
