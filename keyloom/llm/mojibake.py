@@ -16,6 +16,7 @@ from keyloom.session import cut_lineage
 
 #: Encodings a UTF-8 text may have been read in, tried in this order (the order breaks ties).
 CODECS = ("cp1252", "cp1251", "cp850", "cp437", "mac_roman", "cp1250", "koi8_r", "cp866", "cp852", "iso8859_15", "iso8859_2", "iso8859_5", "mac_cyrillic", "cp1253", "cp1254", "cp1257")
+CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 #: Layers of wrong decoding that are undone.
 LAYERS = 4
 #: Partly undone versions of a text that are followed from one layer to the next.
@@ -48,18 +49,44 @@ def _tables() -> list[dict[int, str]]:
 
 
 _BYTES = _tables()
-#: Symbols of the pair statistics: ASCII and every character of the codecs singly, all else by blocks of 4096 code points.
-_SINGLE = np.array(sorted({*range(0x80), 0xFFFD, *(c for t in _BYTES for c in t)}), dtype=np.int64)
+#: Encodings of one byte a character that may have been taken for one another: (what a text was in, what it was read in).
+CONFUSED = tuple((a, b) for a in ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252") for b in ("cp1252", "cp1251", "koi8_r", "cp866", "cp850", "cp437", "mac_roman") if a != b)
+#: Characters above ASCII a text needs before it is tried in another one-byte encoding, and the gain (nats a pair) that is asked for.
+LEAST_WIDE, PAIR_GAIN = 8, 3.0
+
+
+def _confusions() -> list[dict[int, str]]:
+    byte_of = dict(zip(CODECS, _BYTES))
+    out = []
+    for true, read in CONFUSED:
+        table = {}
+        for point, byte in byte_of[read].items():
+            try:
+                table[point] = byte.encode("latin-1").decode(true)
+            except UnicodeDecodeError:
+                pass
+        out.append(table)
+    return out
+
+
+_SWAPS = _confusions()
+#: A lone or word-final Ã before a blank was Ã with a no-break space: somebody made all blanks plain after the wrong decoding.
+_BLANKED = re.compile(r"(?<![A-ZÀ-Ý])Ã(?: |\Z)")
+#: Symbols of the pair statistics: ASCII, combining marks and every character of the codecs singly, all else by blocks of 128 code points, from
+#: U+3400 on of 4096.
+_SINGLE = np.array(sorted({*range(0x80), *range(0x300, 0x370), 0xFFFD, *(c for t in _BYTES for c in t)}), dtype=np.int64)
 _LETTERS = frozenset(map(chr, _SINGLE.tolist())) - {"\ufffd"}
 #: Greek and Cyrillic capitals count as their lower case: in their own encodings capitals also form UTF-8 sequences, and are rarer.
 _LOWER = np.array([i if c < 0x370 or len(chr(c).lower()) > 1 or (j := int(np.searchsorted(_SINGLE, ord(chr(c).lower())))) >= len(_SINGLE) or _SINGLE[j] != ord(chr(c).lower()) else j for i, c in enumerate(_SINGLE.tolist())])
-SYMBOLS = len(_SINGLE) + (0x110000 >> 12)
+_FINE = 0x3400 >> 7
+SYMBOLS = len(_SINGLE) + _FINE + (0x110000 >> 12)
 
 
 def _symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     at = np.searchsorted(_SINGLE, points).clip(max=len(_SINGLE) - 1)
-    return np.where(_SINGLE[at] == points, _LOWER[at], len(_SINGLE) + (points >> 12))
+    block = np.where(points < 0x3400, points >> 7, _FINE + (points >> 12))
+    return np.where(_SINGLE[at] == points, _LOWER[at], len(_SINGLE) + block)
 
 
 def _flat_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +107,22 @@ def _undo(text: str, table: dict[int, str], spans: list[tuple[int, int]] | None
                 char = m[0].encode("latin-1").decode("utf-8")
             except UnicodeDecodeError:
                 continue
+            if char == "\xad" and text[m.start()] not in "ÂÃ":
+                continue  # a letter before a soft hyphen; only Latin-1 shows a garbled one like this
             parts += [text[done : m.start()], char]
             done = m.end()
     return "".join(parts) + text[done:] if parts else text
 
 
-def _suspect(text: str, table: dict[int, str]) -> bool:
-    found = [m[0] for m in _SEQUENCE.finditer("".join(table.get(ord(c), "￿") if c > "\x7f" else c for c in text))]
-    if any(s.encode("latin-1").decode("utf-8", "replace") in _LETTERS for s in found):
-        return True
-    return len(found) > 2 and sum(map(len, found)) > 0.9 * sum(c > "\x7f" for c in text)
+def _suspect(text: str, table: dict[int, str], cyrillic: bool) -> bool:
+    raw = "".join(table.get(ord(c), "\uffff") if c > "\x7f" else c for c in text)
+    found = [m.span() for m in _SEQUENCE.finditer(raw)]
+    for a, b in found:
+        # Words of Cyrillic letters often form such sequences in their own encodings, with a symbol among them or a Latin letter beside them never.
+        plain = cyrillic and text[a:b].isalpha() and not any(c.isascii() and c.isalpha() for c in text[max(a - 1, 0) : a] + text[b : b + 1])
+        if not plain and raw[a:b].encode("latin-1").decode("utf-8", "replace") in _LETTERS:
+            return True
+    return len(found) > 2 and sum(b - a for a, b in found) > 0.9 * sum(c > "\x7f" for c in text)
 
 
 def decodes(text: str) -> bool:
@@ -98,7 +131,11 @@ def decodes(text: str) -> bool:
     Such texts, and those with lost characters, stay out of the corpus statistics: a corpus with many garbled
     texts would otherwise vouch for its own errors. Sound texts among them cost a little support and no more.
     """
-    return not text.isascii() and (LOST in text or any(_suspect(text, t) for t in _BYTES))
+    return not text.isascii() and (LOST in text or any(_suspect(text, t, c in CYRILLIC) for c, t in zip(CODECS, _BYTES)))
+
+
+def _wide(text: str) -> str:
+    return "".join(c for c in text if c > "\x7f")
 
 
 class PairModel:
@@ -107,6 +144,7 @@ class PairModel:
     def __init__(self, counts: np.ndarray) -> None:
         n = counts.reshape(SYMBOLS, SYMBOLS).astype(np.float64)
         expected = np.outer(n.sum(1), n.sum(0)) / max(n.sum(), 1.0)
+        self.log = np.log(n + PSEUDO).astype(np.float32).ravel()
         self.seen = n.sum(0) + n.sum(1) > 0
         self.pmi = np.log((n + PSEUDO) / (np.maximum(expected, 1.0) + PSEUDO)).astype(np.float32).ravel()
 
@@ -158,12 +196,35 @@ class PairModel:
         wide = [sum(c > "\x7f" for c in t) for t in (before, after)]
         return not came or bool(self.seen[_symbols(came)].all()) or (wide[1] > 2 and wide[0] > 1.9 * wide[1])
 
+    def familiarity(self, text: str) -> float:
+        """Mean logarithm of the corpus counts of the pairs of a text that are not wholly ASCII."""
+        s = _symbols(text)
+        wide = (s[1:] >= 128) | (s[:-1] >= 128)
+        return float(self.log[(s[:-1] * SYMBOLS + s[1:])[wide]].mean()) if wide.any() else 0.0
+
+    def swapped(self, text: str) -> str | None:
+        """The text in the one-byte encoding that makes it far more familiar, if there is one that all its wide characters allow."""
+        wide = _wide(text)
+        if len(wide) < LEAST_WIDE:
+            return None
+        points = set(map(ord, wide))
+        best, most = None, self.familiarity(text) + PAIR_GAIN
+        for table in _SWAPS:
+            if all(p in table for p in points):
+                tried = text.translate(table)
+                if (f := self.familiarity(tried)) > most:
+                    best, most = tried, f
+        return best
+
     def restore(self, texts: list[str]) -> list[str]:
         """Each text with its garbled parts undone as far as any codec explains them; sound texts come back as they are."""
         out = list(texts)
-        beams = {i: [(self.cost(t), t)] for i, t in enumerate(texts) if len(t) > 1 and not t.isascii()}
+        begun = [_BLANKED.sub("Ã\xa0", t) for t in texts]
+        beams = {i: [(self.cost(t), t)] for i, t in enumerate(begun) if len(t) > 1 and not t.isascii()}
         best = {i: b[0] for i, b in beams.items()}
-        for _ in range(LAYERS):
+        for layer in range(LAYERS):
+            # Within the first layer the cheapest reading wins; each further one must be worth it.
+            done = 1.0 if layer else 0.0
             at = [(i, cost, text) for i, beam in beams.items() for cost, text in beam]
             beams = {}
             for (i, _cost, now), span in zip(at, self.runs([t for *_, t in at])):
@@ -175,27 +236,32 @@ class PairModel:
                 found.sort(key=lambda x: x[0])  # stable: equal costs stay in the order of CODECS
                 beams[i] = list(dict.fromkeys(found))[:BEAM]
                 for cost, text in beams[i]:
-                    if cost < best[i][0] - 1e-9 and self.sound(out[i], text):
+                    if cost < best[i][0] - GAIN * done and self.sound(begun[i], text):
                         best[i] = (cost, text)
             if not beams:
                 break
         for i, (cost, text) in best.items():
-            if text != out[i] and cost < self.cost(out[i]) - GAIN:
+            if text != begun[i] and cost < self.cost(begun[i]) - GAIN:
                 out[i] = text
+        # One-byte text in the wrong table: where most wide characters are improbable, and that explains more than multi-byte readings.
+        many = [i for i in best if len(_wide(texts[i])) >= LEAST_WIDE]
+        for i, spans in zip(many, self.runs([texts[i] for i in many])):
+            inside = sum(len(_wide(texts[i][a:b])) for a, b in spans)
+            if inside * 2 >= len(_wide(texts[i])) and (found := self.swapped(texts[i])) is not None and self.cost(found) < self.cost(out[i]) - GAIN:
+                out[i] = found
         return out
 
 
-def pair_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of adjacent characters over all of column ``text``, as a flat SYMBOLS x SYMBOLS array.
+def _counted(texts: DataFrame, wanted) -> np.ndarray:  # noqa: ANN001
+    """Pair counts over the texts for which ``wanted`` (made once a task) holds, as a flat SYMBOLS x SYMBOLS array.
 
-    Each Arrow batch is counted where it lies; the shuffle and the driver see at most SYMBOLS squared sums (about a
-    million), whatever the corpus.
+    Each Arrow batch is counted where it lies; the shuffle and the driver see at most SYMBOLS squared sums, whatever the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, int] = {}
+        keep, kept = wanted(), {}
         for batch in batches:
-            column = [t for t in batch.column(0).to_pylist() if t and not decodes(t)]
+            column = [t for t in batch.column(0).to_pylist() if t and keep(t)]
             if column:
                 pair, n = np.unique(_flat_pairs(column)[0], return_counts=True)
                 for p, k in zip(pair.tolist(), n.tolist()):
@@ -208,24 +274,51 @@ def pair_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def _packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), counts[at]
+
+
+def _model(packed: tuple[np.ndarray, np.ndarray]) -> PairModel:
+    counts = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
+    counts[packed[0]] = packed[1]
+    return PairModel(counts)
+
+
+def pair_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of adjacent characters over column ``text``, without texts that look garbled.
+
+    A first pass leaves out texts that hold UTF-8 in another encoding; its counts tell which of the rest would be far more familiar in
+    another one-byte encoding, and a second pass leaves those out too.
+    """
+    first = texts.sparkSession.sparkContext.broadcast(_packed(_counted(texts, lambda: lambda t: not decodes(t))))
+
+    def sound():  # noqa: ANN202
+        model = _model(first.value)
+        return lambda t: not decodes(t) and model.swapped(t) is None
+
+    return _counted(texts, sound)
+
+
 RESTORED = T.StringType()
 
 
 def restored_texts(texts: DataFrame) -> DataFrame:
     """``texts`` (field, record_id, text) with ``restored`` and ``garbled``.
 
-    A text is garbled if an improbable run of it turns out to be UTF-8 read in another encoding, or if it holds U+FFFD
+    A text is garbled if an improbable run of it turns out to be UTF-8 read in another encoding, if most of its wide characters lie in such runs and
+    are far more familiar in another one-byte encoding, or if it holds U+FFFD
     (then what can be restored is, the rest stays lost). Null and empty texts are sound. ``text`` is read twice:
     once for the pair statistics, once to restore; nothing is shuffled between.
     """
     counts = pair_counts(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(np.log1p(counts).astype(np.float32))
+    shared = texts.sparkSession.sparkContext.broadcast(_packed(counts))
     model: list[PairModel] = []
 
     @F.pandas_udf(RESTORED)
     def restore(text: pd.Series) -> pd.Series:
         if not model:
-            model.append(PairModel(np.expm1(shared.value.astype(np.float64)).round()))
+            model.append(_model(shared.value))
         code, values = pd.factorize(text)
         made = [*model[0].restore(list(values)), None]
         return pd.Series([made[c] for c in code], dtype=object)

@@ -87,6 +87,18 @@ def test_restores_every_codec(spark):
     assert mojibake.restored_texts(texts.limit(0)).count() == 0
 
 
+def test_one_byte_encodings_and_blanks(spark):
+    corpus = _corpus(1500)
+    russian = "Зачем учитель починил первую строку на рынке"
+    bad = {russian.encode("cp1251").decode("latin-1"): russian, russian.encode("cp1251").decode("koi8_r"): russian}
+    bad |= {_garble(t, "cp1252").replace("\xa0", " "): t for t in ("la pâte à gâteau", "à tarde", "déjà trouvé")}
+    sound = ["Ñandú «où» ½-litre £9 €5", "Ελα", "Ça va", "ЗАЧЕМ УЧИТЕЛЬ", "MAÇÃ E PÃO", "В\xad пустом", "fоllowed thе сlаѕѕ оf ехреrtѕ", "принёс зелёный чай"]
+    texts = spark.createDataFrame([("f", i, t) for i, t in enumerate([*corpus, *bad, *sound])], "field string, record_id long, text string")
+    got = {r.text: r for r in mojibake.restored_texts(texts).collect()}
+    assert {t: got[t].restored for t in bad} == bad
+    assert [t for t in sound if got[t].garbled] == []
+
+
 def test_runs_are_maximum_scoring_segments():
     import numpy as np
 
