@@ -52,7 +52,7 @@ _BYTES = _tables()
 #: Encodings of one byte a character that may have been taken for one another: (what a text was in, what it was read in).
 CONFUSED = tuple((a, b) for a in ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252") for b in ("cp1252", "cp1251", "koi8_r", "cp866", "cp850", "cp437", "mac_roman") if a != b)
 #: Characters above ASCII a text needs before it is tried in another one-byte encoding, and the gain (nats a pair) that is asked for.
-LEAST_WIDE, PAIR_GAIN = 8, 3.0
+LEAST_WIDE, PAIR_GAIN = 8, 2.0
 
 
 def _confusions() -> list[dict[int, str]]:
