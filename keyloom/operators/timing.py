@@ -20,23 +20,29 @@ def with_gaps(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return events.withColumn("iki", F.col("press") - F.lag("press").over(W.partitionBy(*keys).orderBy("seq")))
 
 
+def _with_bursts(events: DataFrame, pause_ms: float, keys: tuple[str, ...]) -> DataFrame:
+    """``with_gaps`` and ``burst``: at the last event of each run without a pause longer than ``pause_ms`` the run's length, else null.
+
+    A run starts where the largest row number so far that follows a pause lies, so one window sort does without a group per run.
+    """
+    order = W.partitionBy(*keys).orderBy("seq")
+    gaps = with_gaps(events, keys).withColumn("_n", F.row_number().over(order))
+    start = F.max(F.when(F.col("iki").isNull() | (F.col("iki") > pause_ms), F.col("_n"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    following = F.lead("iki").over(order)
+    ends = following.isNull() | (following > pause_ms)
+    return gaps.withColumn("burst", F.when(ends, F.col("_n") - start + 1).cast("double")).drop("_n")
+
+
 def burst_lengths(events: DataFrame, pause_ms: float = PAUSE_MS, keys: tuple[str, ...] = KEYS, name: str = "burst") -> DataFrame:
     """(keys, feature, value): lengths of runs of events without a pause longer than ``pause_ms``, the last included."""
-    order = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    islands = with_gaps(events, keys).withColumn("_i", F.sum(F.coalesce((F.col("iki") > pause_ms).cast("int"), F.lit(0))).over(order))
-    return islands.groupBy(*keys, "_i").agg(F.count("*").cast("double").alias("value")).select(*keys, F.lit(name).alias("feature"), "value")
+    return _with_bursts(events, pause_ms, keys).filter("burst is not null").select(*keys, F.lit(name).alias("feature"), F.col("burst").alias("value"))
 
 
 def feature_pool(events: DataFrame, pause_ms: float = PAUSE_MS, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, feature, value) of iki, hold, pause and burst; sessions never touch each other."""
-    gaps = with_gaps(events, keys)
-    each = F.array(
-        F.struct(F.lit("iki").alias("feature"), F.col("iki").alias("value")),
-        F.struct(F.lit("hold").alias("feature"), (F.col("release") - F.col("press")).alias("value")),
-        F.struct(F.lit("pause").alias("feature"), F.when(F.col("iki") > pause_ms, F.col("iki")).alias("value")),
-    )
-    long = gaps.select(*keys, F.explode(each).alias("f")).select(*keys, "f.*").filter("value is not null")
-    return long.unionByName(burst_lengths(events, pause_ms, keys))
+    """(keys, feature, value) of iki, hold, pause and burst; sessions never touch each other. One pass over the events."""
+    named = {"iki": F.col("iki"), "hold": F.col("release") - F.col("press"), "pause": F.when(F.col("iki") > pause_ms, F.col("iki")), "burst": F.col("burst")}
+    each = F.array(*(F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in named.items()))
+    return _with_bursts(events, pause_ms, keys).select(*keys, F.explode(each).alias("f")).select(*keys, "f.*").filter("value is not null")
 
 
 def timing_profile(events: DataFrame) -> DataFrame:
@@ -87,19 +93,17 @@ def _corr(a: Column, b: Column) -> Column:
 def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, the nine SERIAL columns): order-sensitive features of a session's log intervals; too short sessions get each feature's null value.
 
-    x_i = log1p of the interval after event i, n of them. One window sort per session, then one aggregate.
+    x_i = log1p of the interval after event i, n of them. One exchange by session, windows, one aggregate; no join.
     """
     order = W.partitionBy(*keys).orderBy("seq")
-    whole = W.partitionBy(*keys)
+    whole, block = W.partitionBy(*keys), W.partitionBy(*keys, "block")
     base = events.select(*keys, "seq", "press", "release", "ch").withColumns({"_next": F.lead("press").over(order), "i": F.row_number().over(order) - 1})
-    # To the nanosecond: sums of bin centres would otherwise break ties with the median by their rounding.
+    # To the nanosecond: sums of bin centres would otherwise break ties with the median by their rounding. The last event has no x and keeps its session.
     gap = F.round(F.col("_next") - F.col("press"), 6)
-    rows = base.filter("_next is not null").withColumns({"x": F.log1p(F.greatest(gap, F.lit(0.0))), "h": F.log1p(F.greatest(F.col("release") - F.col("press"), F.lit(0.0)))})
-    rows = rows.withColumns({f"x{k}": F.lead("x", k).over(order) for k in (1, 2, 3)} | {"n": F.count("*").over(whole), "med": F.percentile("x", 0.5).over(whole)})
-    rows = rows.withColumns({"fast": F.col("x") <= F.col("med"), "next_fast": F.col("x1") <= F.col("med"), "half": F.col("i") < F.floor(F.col("n") / 2), "block": F.floor(F.col("i") / 8), "spaced": F.coalesce(F.col("ch") == " ", F.lit(False))})
-    local = rows.groupBy(*keys, "block").agg(F.stddev_pop("x").alias("s"), F.count("*").alias("c"))
-    # Block deviations meet the session's aggregate in the same partitioning, so the join moves nothing again.
-    spread = local.groupBy(*keys).agg(F.avg(F.when(F.col("c") == 8, F.col("s"))).alias("local_sd"))
+    timed = F.col("_next").isNotNull()
+    rows = base.withColumns({"x": F.when(timed, F.log1p(F.greatest(gap, F.lit(0.0)))), "h": F.when(timed & F.col("release").isNotNull(), F.log1p(F.greatest(F.col("release") - F.col("press"), F.lit(0.0)))), "block": F.floor(F.col("i") / 8)})
+    rows = rows.withColumns({f"x{k}": F.lead("x", k).over(order) for k in (1, 2, 3)} | {"n": F.count("x").over(whole), "med": F.percentile("x", 0.5).over(whole), "bs": F.stddev_pop("x").over(block), "bc": F.count("x").over(block)})
+    rows = rows.withColumns({"fast": F.col("x") <= F.col("med"), "next_fast": F.col("x1") <= F.col("med"), "half": F.col("i") < F.floor(F.col("n") / 2), "spaced": F.coalesce(F.col("ch") == " ", F.lit(False))})
     one = rows.groupBy(*keys).agg(
         F.first("n").alias("n"),
         F.stddev_pop("x").alias("sd"),
@@ -110,18 +114,19 @@ def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
         F.avg(F.col("fast").cast("double")).alias("pf"),
         F.avg(F.when(F.col("half"), F.col("x"))).alias("m1"),
         F.avg(F.when(~F.col("half"), F.col("x"))).alias("m2"),
+        F.avg(F.when((F.col("i") % 8 == 7) & (F.col("bc") == 8), F.col("bs"))).alias("local_sd"),
         _corr(F.col("h"), F.col("x")).alias("rh"),
         F.count("h").alias("nh"),
         F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("sh"),
         F.coalesce(F.stddev_pop(F.when(F.col("h").isNotNull(), F.col("x"))), F.lit(0.0)).alias("sxh"),
         F.avg(F.when(F.col("spaced"), F.col("x"))).alias("mw"),
         F.avg(F.when(~F.col("spaced"), F.col("x"))).alias("mo"),
-        F.count_if("spaced").alias("nw"),
+        F.count_if(F.col("spaced") & F.col("x").isNotNull()).alias("nw"),
     )
     n, sd = F.col("n"), F.col("sd")
     varied = sd > 1e-9
     either = lambda ok, value, null: F.coalesce(F.when(ok, value), F.lit(null))
-    return events.select(*keys).distinct().join(one, list(keys), "left").join(spread, list(keys), "left").select(
+    return one.select(
         *keys,
         *(either((n > k + 2) & varied, F.col(f"r{k}"), 0.0).alias(f"lag{k}") for k in (1, 2, 3)),
         either((n > 3) & (sd * sd > 1e-12), F.col("msd") / F.nullif(sd * sd, F.lit(0.0)), 2.0).alias("von_neumann"),
