@@ -26,3 +26,14 @@ def serial_readout(events: DataFrame, band: DataFrame, keys: tuple[str, ...] = K
     long = _long(serial_features(events, keys), keys)
     joined = long.join(F.broadcast(band), "feature", "left")
     return joined.select(*keys, "feature", "null_value", F.round("value", 4).alias("value"), "p10", "median", "p90", F.col("value").between(F.col("p10"), F.col("p90")).alias("in_band"))
+
+
+def control_readouts(events: DataFrame, targets: DataFrame, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
+    """``serial_readout`` with ``side``: the sessions as they are, typed evenly (``targets``: keys, target, wpm) and with shuffled timing, all on the token grid."""
+    from keyloom.operators.controls import heuristic_baseline, shuffle_timing
+
+    band = real_band(events, keys)
+    columns = [*keys, "seq", "type", "press", "release", "ch"]
+    made = {"sample": events, "heuristic": heuristic_baseline(targets, keys, seed=seed), "shuffled": shuffle_timing(events, keys, seed)}
+    parts = [serial_readout(roundtrip(df.select(*columns), keys), band, keys).withColumn("side", F.lit(side)) for side, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions import bins
-from keyloom.operators import codec, compare, composition, convergence, generated, knobs, labels, revision, signatures, timing_pools, writer_split
+from keyloom.operators import codec, compare, composition, convergence, generated, knobs, labels, revision, selection, signatures, timing_pools, writer_split
 from keyloom.plans.catalog import query
 from keyloom.plans.session_queries import _COMPARE, rounded
 from keyloom.plans.sql import ESCAPED, GENERATED, bin_of, share
@@ -386,3 +386,22 @@ def sentence_sessions(spark: SparkSession, d: str) -> DataFrame:
     pools = timing_pools.complete_pools(timing_pools.harvest_timings(results(spark, d), KEY), KEY)
     pairs = _drafts(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("nr"), F.col("before").alias("before_sent"), F.col("after").alias("after_sent"))
     return revision.sentence_sessions(pairs, pools).select("doc_id", F.length("target").alias("chars"), F.size("events").alias("n_events"), "reason")
+
+
+@query("mode_filter", "SELECT DISTINCT result_id FROM generation_results WHERE starts_with(prompt, '<MODE:T>')")
+def mode_filter(spark: SparkSession, d: str) -> DataFrame:
+    return selection.by_mode(table(spark, d, "generation_results"), "transcription").select("result_id").distinct()
+
+
+@query("encodable_prompts", "SELECT DISTINCT result_id FROM generation_results WHERE regexp_full_match(prompt, '[\\n\\t\\x20-\\x7E]*')")
+def encodable_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return selection.encodable(table(spark, d, "generation_results")).select("result_id").distinct()
+
+
+@query(
+    "composition_targets",
+    "SELECT writer, session_id, left(target, 400) AS target FROM (SELECT writer, session_id, min(target_text) AS target FROM real_sessions WHERE writer IS NOT NULL AND run_mode = 'composition' GROUP BY ALL) WHERE length(target) > 0 QUALIFY row_number() OVER (PARTITION BY writer ORDER BY session_id) = 1",
+)
+def composition_targets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "real_sessions").filter("writer is not null and run_mode = 'composition'").groupBy("writer", "session_id").agg(F.min("target_text").alias("target"))
+    return selection.composition_targets(rows, ["session_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import bins
-from keyloom.operators import codec, compare, controls, export, geometry, heldout, readout, signatures, timing, transcription, writer_split
+from keyloom.operators import codec, compare, controls, export, geometry, heldout, readout, selection, signatures, timing, transcription, writer_split
 from keyloom.operators.timing import KEYS
 from keyloom.plans.catalog import query
 from keyloom.plans.sql import ESCAPED, EVENTS, bin_of, center_of, share
@@ -476,3 +476,22 @@ def layout_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 def export_examples(spark: SparkSession, d: str) -> DataFrame:
     """Training examples of all sound sessions on physical keyboards, with sides. Without SQL: the gate's edit distance counts bytes there."""
     return export.exported(table(spark, d, "keystrokes"), table(spark, d, "participants"))
+
+
+@query(
+    "evaluation_sessions",
+    f"""WITH {_SIDES}, {_SECTIONS}, c AS (SELECT writer, session_id FROM se WHERE writer IN (SELECT writer FROM sp WHERE side = 'test') QUALIFY row_number() OVER (PARTITION BY writer ORDER BY session_id) <= 3)
+    SELECT * FROM c ORDER BY session_id, writer LIMIT 200""",
+)
+def evaluation_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 held-out sessions an evaluation takes, at most three a writer: the number is the feature."""
+    sections = _sections(spark, d)
+    return selection.evaluation_sessions(sections, writer_split.split_by_writer(sections), 200, ["session_id", "writer"]).select("writer", "session_id")
+
+
+@query("control_readouts")
+def control_readouts(spark: SparkSession, d: str) -> DataFrame:
+    """Serial features of sessions beside those of even typing and shuffled timing."""
+    events = typed(spark, d)
+    targets = events.groupBy(*KEYS).agg(F.first("target").alias("target")).filter("target is not null").withColumn("wpm", F.lit(50.0))
+    return readout.control_readouts(events, targets).groupBy("side", "feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg(F.col("in_band").cast("double")), 4).alias("share_in_band"))
