@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.session import cut_lineage
+from keyloom.session import cut_lineage, partitions
 
 #: Encodings a UTF-8 text may have been read in, tried in this order (the order breaks ties).
 CODECS = ("cp1252", "cp1251", "cp850", "cp437", "mac_roman", "cp1250", "koi8_r", "cp866", "cp852", "iso8859_15", "iso8859_2", "iso8859_5", "mac_cyrillic", "cp1253", "cp1254", "cp1257")
@@ -336,7 +336,9 @@ def logged_texts(keystrokes: DataFrame, composition_log: DataFrame) -> DataFrame
     change = composition_log.select(F.lit("text_change").alias("field"), F.col("log_id").alias("record_id"), unescape(F.col("text_change")).alias("text"))
     # A single character forms no pair; only a lost one matters.
     some = (F.length("text") > 1) | F.contains(F.col("text"), F.lit(LOST))
-    return cut_lineage(sentence.unionByName(change).filter(some & F.col("record_id").isNotNull()).distinct())
+    once = sentence.unionByName(change).filter(some & F.col("record_id").isNotNull()).distinct()
+    # Few bytes but much work a text: spread them as wide as the session shuffles, not by size.
+    return cut_lineage(once.repartition(partitions(keystrokes.sparkSession), "field", "record_id"))
 
 
 def garbled_texts(texts: DataFrame, stimuli: DataFrame) -> DataFrame:
