@@ -134,34 +134,55 @@ class ItemIndex:
         total = sum(self.weight.get(s, rare) for s in x | y)
         return sum(self.weight.get(s, rare) for s in x & y) / total if total else 0.0
 
-    def leaks(self, text: str, similarity: float = SIMILARITY) -> dict[int, tuple[int, int, float]]:
-        """For each item: words of the longest stretch both texts have word by word (at least a passage, else 0), windows of the text that
-        reach ``similarity`` with one of the item's, and the best similarity. Fingerprints propose, the words decide."""
-        words = words_of(text)
-        h = _hashes(words)
-        rows, windows = self.candidates(fingerprints(h, self.passage))
-        found: dict[int, tuple[int, int, float]] = {}
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for r, w in zip(rows.tolist(), windows.tolist()):
-            by_item.setdefault(int(self.item[w]), []).append((r, int(self.at[w])))
-        for k, hits in by_item.items():
-            own, n, best, longest, counted = self.items[k][1], self.passage, 0.0, 0, set()
+    def leaks(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+        """(number of the text, item, longest, windows, best) for each item a text holds something of: words of the longest stretch both have
+        word by word (at least a passage, else 0), windows of the text that reach ``similarity`` with one of the item's, and the best similarity.
+        Fingerprints of all texts propose at once, the words decide."""
+        words = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        start = np.cumsum(size) - size
+        h = _hashes([w for own in words for w in own])
+        owner = np.repeat(np.arange(len(words)), size)
+        # Windows that would reach into the next text are none.
+        first = np.flatnonzero(np.arange(len(h)) + self.passage <= (start + size)[owner]) if len(h) else np.empty(0, dtype=np.int64)
+        rows, windows = self.candidates(fingerprints(h, self.passage)[first])
+        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, w in zip(first[rows].tolist(), windows.tolist()):
+            by_pair.setdefault((int(owner[r]), int(self.item[w])), []).append((r, int(self.at[w])))
+        found = []
+        for (text, k), hits in by_pair.items():
+            begin, have, own, n = int(start[text]), words[text], self.items[k][1], self.passage
+            best, longest, counted = 0.0, 0, set()
             streak: dict[int, tuple[int, int]] = {}
             for r, at in sorted(hits):
-                same = words[r : r + n] == own[at : at + n]
+                same = have[r - begin : r - begin + n] == own[at : at + n]
                 s = 1.0 if same else self.similarity(h[r : r + n], self.hashes[k][at : at + n])
                 if s >= similarity:
                     counted.add(r)
                 best = max(best, s)
                 if same:
-                    last, size = streak.get(r - at, (-2, 0))
-                    streak[r - at] = (r, size + 1 if last == r - 1 else n)
+                    last, length = streak.get(r - at, (-2, 0))
+                    streak[r - at] = (r, length + 1 if last == r - 1 else n)
                     longest = max(longest, streak[r - at][1])
             if counted:
-                found[self.items[k][0]] = (longest, len(counted), best)
+                found.append((text, self.items[k][0], longest, len(counted), best))
         return found
 
 
+#: Characters of texts that are searched at a time.
+TEXT_CHARS = 2_000_000
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about TEXT_CHARS characters, with the number of the first."""
+    begin, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= TEXT_CHARS or i + 1 == len(texts):
+            yield begin, texts[begin : i + 1]
+            begin, chars = i + 1, 0
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, longest, windows, similarity): documents holding passages of evaluation items, with the items.
 
@@ -190,9 +211,8 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, passage: int = PAS
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index = ItemIndex(shared.value, passage)
             for batch in batches:
-                out: list[tuple[int, int, int, int, float]] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    out += [(doc, i, *x) for i, x in index.leaks(text.as_py(), similarity).items()]
+                ids = batch.column(0).to_pylist()
+                out = [(ids[begin + t], *x) for begin, texts in _portions(batch.column(1).to_pylist()) for t, *x in index.leaks(texts, similarity)]
                 columns = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "longest", "windows", "similarity"])
 
