@@ -36,8 +36,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p2_consistent")
 def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
-    """All target texts and pasted texts in their consistent forms."""
-    return visible_text.consistent_texts(visible_text.composed_texts(table(spark, d, "real_sessions"), table(spark, d, "composition_log")))
+    """All target texts and all texts of text_change, whatever the activity, in their consistent forms."""
+    return visible_text.consistent_texts(visible_text.composed_texts(table(spark, d, "real_sessions"), table(spark, d, "composition_log"), None))
 
 
 @query("p4_found")

@@ -90,11 +90,15 @@ def unescape(column: Column) -> Column:
     return F.when(F.instr(column, "\\") > 0, F.replace(plain, F.lit(""), F.lit("\\"))).otherwise(column)
 
 
-def composed_texts(real_sessions: DataFrame, composition_log: DataFrame) -> DataFrame:
-    """(field, record_id, text) of target texts and pasted texts, unescaped, one row per distinct delivery."""
+def composed_texts(real_sessions: DataFrame, composition_log: DataFrame, activities: tuple[str, ...] | None = ("Paste",)) -> DataFrame:
+    """(field, record_id, text) of target texts and logged texts, unescaped, one row per distinct delivery.
+
+    ``activities``: those whose text_change counts; None takes every row, whatever its activity or without one.
+    """
     target = real_sessions.select(F.lit("target_text").alias("field"), F.col("session_id").alias("record_id"), F.col("target_text").alias("text"))
-    paste = composition_log.filter(F.col("activity") == "Paste").select(F.lit("text_change").alias("field"), F.col("log_id").alias("record_id"), unescape(F.col("text_change")).alias("text"))
-    return target.unionByName(paste).filter("text is not null and record_id is not null").distinct()
+    rows = composition_log if activities is None else composition_log.filter(F.col("activity").isin(*activities))
+    logged = rows.select(F.lit("text_change").alias("field"), F.col("log_id").alias("record_id"), unescape(F.col("text_change")).alias("text"))
+    return target.unionByName(logged).filter("text is not null and record_id is not null").distinct()
 
 
 def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -52,6 +52,16 @@ def test_match_stimuli(spark):
     assert visible_text.match_stimuli(texts.limit(0), stimuli).count() == 0 and visible_text.match_stimuli(texts, stimuli.limit(0)).count() == 0
 
 
+def test_consistent_texts_of_all_activities(spark, tmp_path):
+    from keyloom.llm import catalog
+
+    log = [(1, "Paste", 'say \\"hi\\"'), (2, "Input", "Ｃafe\u0301\u00a0now"), (3, "Replace", "a => ﬁt"), (4, "Remove/Cut", "ｂ"), (5, None, "ｃ"), (5, None, "ｃ"), (6, "Input", None)]
+    spark.createDataFrame(log, "log_id long, activity string, text_change string").write.parquet(f"{tmp_path}/composition_log.parquet")
+    spark.createDataFrame([(1, "ｄ"), (2, None)], "session_id long, target_text string").write.parquet(f"{tmp_path}/real_sessions.parquet")
+    got = sorted((r.field, r.record_id, r.visible) for r in catalog.p2_consistent(spark, str(tmp_path)).collect())
+    assert got == [("target_text", 1, "d"), ("text_change", 1, 'say "hi"'), ("text_change", 2, "Café now"), ("text_change", 3, "a => fit"), ("text_change", 4, "b"), ("text_change", 5, "c")]
+
+
 def _corpus(n=400):
     r = random.Random(8)
     words = [w for s in SENTENCES for w in s.split()]
