@@ -13,8 +13,6 @@ from keyloom.plans.catalog import query
 from keyloom.plans.session_queries import rounded, typed
 from keyloom.session import cut_lineage, table
 
-#: Trees of the evaluation queries; the classifier's own default is 100.
-TREES = 10
 COLUMNS = [c for f in FEATURES for c in (*(f"{f}_q{q * 100:g}" for q in QUANTILES), f"{f}_mean", f"{f}_sd", f"{f}_count")] + list(SERIAL)
 
 
@@ -32,28 +30,28 @@ def _real_and_shuffled(spark: SparkSession, d: str) -> DataFrame:
 @query("discriminator_cv")
 def discriminator_cv(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy per writer-grouped fold of telling sessions from their shuffled timing."""
-    return rounded(classify.discriminator_cv(_real_and_shuffled(spark, d), COLUMNS, ["writer"], trees=TREES))
+    return rounded(classify.discriminator_cv(_real_and_shuffled(spark, d), COLUMNS, ["writer"]))
 
 
 @query("feature_importances")
 def feature_importances(spark: SparkSession, d: str) -> DataFrame:
     """The features by which the same classifier decides."""
     rows = _real_and_shuffled(spark, d)
-    return spark.createDataFrame(classify.importances(classify.fit_discriminator(rows, COLUMNS, TREES), COLUMNS), "feature string, importance double")
+    return spark.createDataFrame(classify.importances(classify.fit_discriminator(rows, COLUMNS), COLUMNS), "feature string, importance double")
 
 
 @query("best_candidates")
 def best_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Of each section's session and its shuffled twin the one that looks real."""
     rows = _real_and_shuffled(spark, d)
-    best = classify.best_candidates(rows, COLUMNS, classify.fit_discriminator(rows, COLUMNS, TREES), "session_id")
+    best = classify.best_candidates(rows, COLUMNS, classify.fit_discriminator(rows, COLUMNS), "session_id")
     return rounded(best.select("session_id", "writer", "label", "p_real"))
 
 
 @query("writer_identification")
 def writer_identification(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy per fold of naming the writer of a session."""
-    return rounded(classify.writer_identification(cut_lineage(_features(typed(spark, d), 1)), COLUMNS, trees=TREES))
+    return rounded(classify.writer_identification(cut_lineage(_features(typed(spark, d), 1)), COLUMNS))
 
 
 @query("codec_ceiling")
@@ -61,14 +59,14 @@ def codec_ceiling(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy per fold of telling sessions from their own round trip through the token grid."""
     events = typed(spark, d)
     rows = cut_lineage(timing.feature_vector(events).withColumn("label", F.lit(1)).unionByName(_features(events, 0)))
-    return rounded(classify.discriminator_cv(rows, COLUMNS, ["writer"], trees=TREES))
+    return rounded(classify.discriminator_cv(rows, COLUMNS, ["writer"]))
 
 
 @query("real_vs_real")
 def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy per fold of telling one half of the sessions from the other, which should be chance."""
     rows = cut_lineage(controls.halves(timing.feature_vector(codec.roundtrip(typed(spark, d)))))
-    return rounded(classify.discriminator_cv(rows, COLUMNS, ["writer"], trees=TREES))
+    return rounded(classify.discriminator_cv(rows, COLUMNS, ["writer"]))
 
 
 @query("tier1_gates")

@@ -221,3 +221,34 @@ def test_entry_points(spark):
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and len(names) > 60
     assert e.entry(spark).columns[0] == "writer"
+
+
+def test_queries_train_the_full_classifiers(spark, monkeypatch):
+    import inspect
+
+    from keyloom.plans import model_queries
+
+    trees = {}
+    one = spark.createDataFrame([(0, 9, 0.5)], "fold int, n long, accuracy double")
+    best = spark.createDataFrame([(1, "w", 1, 0.5)], "session_id long, writer string, label int, p_real double")
+    answers = {"discriminator_cv": one, "writer_identification": one, "fit_discriminator": None, "importances": [("a", 1.0)], "best_candidates": best}
+    for name, answer in answers.items():
+        real = inspect.signature(getattr(classify, name))
+
+        def stand_in(*args, _name=name, _real=real, _answer=answer, **kwargs):
+            bound = _real.bind(*args, **kwargs)
+            bound.apply_defaults()
+            if "trees" in bound.arguments:
+                trees.setdefault(_name, set()).add(bound.arguments["trees"])
+            return _answer
+
+        monkeypatch.setattr(classify, name, stand_in)
+    for name in ("typed", "cut_lineage", "_real_and_shuffled"):
+        monkeypatch.setattr(model_queries, name, lambda *args: one)
+    monkeypatch.setattr(model_queries, "_features", lambda *args: one.withColumn("label", F.lit(1)))
+    monkeypatch.setattr(model_queries.timing, "feature_vector", lambda *args: one)
+    monkeypatch.setattr(model_queries.codec, "roundtrip", lambda *args: one)
+    monkeypatch.setattr(model_queries.controls, "halves", lambda *args: one)
+    for name in ("discriminator_cv", "feature_importances", "best_candidates", "codec_ceiling", "real_vs_real", "tier1_gates", "writer_identification"):
+        getattr(model_queries, name)(spark, "")
+    assert trees == {"discriminator_cv": {100}, "fit_discriminator": {100}, "writer_identification": {50}}
