@@ -96,6 +96,21 @@ def test_revision_sessions(spark):
         assert x.b[: x.start] + x.inserted + x.b[x.stop :] == x.a and x.start <= x.stop
 
 
+def test_sessions_draw_from_whole_pools(spark):
+    gap = F.when(F.col("nr") < 5_000, 100.0).otherwise(900.4)
+    names = F.explode(F.array(*(F.lit(p) for p in (WITHIN, WORD, CLAUSE, "think", "operation")))).alias("pool")
+    pools = spark.range(20_000).select(names, F.col("id").alias("nr")).select("pool", "nr", F.lit(20_000).alias("n"), gap.alias("gap"), F.lit(0.2).alias("hold"))
+    counts = {(r.pool, r.gap, r.hold): r.times for r in revision.pool_counts(pools).collect()}
+    assert counts[WITHIN, 100.0, 1.0] == 5_000 and counts[WITHIN, 900.0, 1.0] == 15_000 and len(counts) == 10
+    pairs = spark.createDataFrame([("d", 0, "", "ab" * 500)], "doc_id string, nr int, before_sent string, after_sent string")
+    passes = spark.createDataFrame([("d", 1, "ab" * 500, "ab" * 500, [])], revision.DOCUMENT)
+    for sessions_of, rows in ((revision.sentence_sessions, pairs), (revision.revision_sessions, passes)):
+        one, again = (sessions_of(rows, pools.repartition(n)).first().events for n in (1, 3))
+        assert one == again
+        gaps = [b.press - a.press for a, b in zip(one, one[1:])]
+        assert set(gaps) == {100.0, 900.0} and 0.65 < gaps.count(900.0) / len(gaps) < 0.85
+
+
 def test_pools(spark):
     events = [*typist("ab. cd", [0, 100, 110, 120, 500, 90]), cursor(0, 3000), seldel(0, 1, 3050), key("x", 3100)]
     harvest = timing_pools.harvest_timings(sessions(spark, events), KEYS)
