@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,21 @@ from keyloom.llm.visible_text import visible_form
 
 #: Words of a passage; a document leaks an item if it holds so many of its words in a row.
 PASSAGE = 12
-#: Bits by which fingerprints of candidates may differ, and blocks of a fingerprint; RADIUS < BLOCKS makes the search complete.
-RADIUS, BLOCKS = 3, 4
-#: Words of a shingle, and the share of a window's shingle weight that a candidate must have in common.
+#: Bits by which fingerprints of passages and of near copies may differ. A fingerprint has BLOCKS blocks, of which one differs in at most
+#: radius // BLOCKS bits; all such neighbours of an item's block are in the index, so the search is complete.
+RADIUS, NEAR_RADIUS, BLOCKS = 3, 11, 4
+#: Words of a shingle, and the share of an item window's shingle weight a near copy must have in common.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Item windows searched at a time (about 50 MB); more items are searched in several passes.
-WINDOWS_A_PASS = 500_000
+#: Quarters, in words, of the windows near copies are sought by. A text is cut into windows at every quarter.
+QUARTERS = (3, 4, 6, 9, 14, 21)
+#: Quarter of the window for parts of items, beside the largest that an item can hold.
+PART = 4
+#: Words by which a near copy may be shifted against the item within a shingle (words put in or left out).
+SHIFT = 2
+#: Near-copy windows of items that are searched at a time (about 150 MB a worker); more items are searched in several passes.
+WINDOWS_A_PASS = 64_000
+#: Characters of texts that are searched at a time, and candidates that are compared at a time.
+TEXT_CHARS, CANDIDATES = 2_000_000, 20_000
 _WORD = re.compile(r"[^\W_]+")
 _EMPHASIS = str.maketrans("", "", "*_~`'")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,98 +89,211 @@ def fingerprints(h: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
     return above | equal
 
 
-class ItemIndex:
-    """Fingerprints of all item windows, found by equal blocks: if at most RADIUS of 64 bits differ, one of RADIUS + 1 blocks is equal."""
+def _votes(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The votes of each word on each of 64 bits: its weight, for or against."""
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return (bits.view(np.int8) * np.int8(2) - np.int8(1)) * weight.astype(np.int8)[:, None]
 
-    def __init__(self, items: list[tuple[int, str]], passage: int = PASSAGE) -> None:
-        self.passage = passage
-        self.items = [(i, words_of(t)) for i, t in items]
-        self.hashes = [_hashes(w) for _, w in self.items]
-        prints = [fingerprints(h, passage) for h in self.hashes]
-        self.prints = np.concatenate(prints) if prints else np.empty(0, dtype=np.uint64)
-        self.item = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        self.at = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.empty(0, dtype=np.int64)
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
+def strided_prints(votes: np.ndarray, quarter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, SimHash) of the windows of four quarters that start at every half of a quarter, rounded down."""
+    starts, prints = [], []
+    for offset in (0, quarter // 2):
+        n = (len(votes) - offset) // quarter
+        if n < 4:
+            continue
+        stop = offset + n * quarter
+        blocks = votes[offset:stop:quarter].copy()
+        for j in range(1, quarter):
+            blocks += votes[offset + j : stop : quarter]
+        starts.append(np.arange(n - 3) * quarter + offset)
+        halves = blocks[:-1].astype(np.int16) + blocks[1:]  # a quarter's sum is at most 63
+        prints.append(_packed(halves[:-2] + halves[2:]))
+    return (np.concatenate(starts), np.concatenate(prints)) if starts else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
+
+
+def rolling_prints(votes: np.ndarray, quarter: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, SimHash) of windows of four quarters at every ``step`` words and at the very end."""
+    size = 4 * quarter
+    starts = np.unique(np.append(np.arange(0, len(votes) - size + 1, step), len(votes) - size))
+    total = np.concatenate((np.zeros((1, 64), dtype=np.int32), np.cumsum(votes, axis=0, dtype=np.int32)))
+    return starts, _packed(total[starts + size] - total[starts])
+
+
+class HammingIndex:
+    """Fingerprints by the values of their blocks, and by all values at most radius // BLOCKS bits away: complete within ``radius``."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius = prints, radius
         bits = 64 // BLOCKS
+        flips = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(bits), k)]
         self.blocks = []
         for b in range(BLOCKS):
-            key = (self.prints >> np.uint64(b * bits)).astype(np.uint64) & np.uint64((1 << bits) - 1)
+            own = ((prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.uint16)
+            key = (own[None, :] ^ np.array(flips, dtype=np.uint16)[:, None]).ravel()
             order = np.argsort(key, kind="stable")
-            self.blocks.append((np.uint64(b * bits), order, np.searchsorted(key[order], np.arange((1 << bits) + 1, dtype=np.uint64))))
-        df: dict[int, int] = {}
-        for h in self.hashes:
-            for s in set(self._shingles(h).tolist()):
-                df[s] = df.get(s, 0) + 1
-        #: Weight of a shingle: rarer among the items, heavier.
-        self.weight = {s: float(np.log1p(len(self.items) / n)) for s, n in df.items()}
-
-    @staticmethod
-    def _shingles(h: np.ndarray) -> np.ndarray:
-        n = len(h) - SHINGLE + 1
-        out = np.zeros(max(n, 0), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(SHINGLE if n > 0 else 0):
-                out = out * _ODD + (h[j : j + n] ^ (h[j : j + n] >> np.uint64(32)))
-        return out
+            start = np.concatenate(([0], np.cumsum(np.bincount(key, minlength=1 << bits))))
+            self.blocks.append((np.uint64(b * bits), (order % max(len(prints), 1)).astype(np.int32), start))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window of a text, window of an item) whose fingerprints differ in at most RADIUS bits."""
-        left, right = [], []
-        for shift, order, start in self.blocks:
+        """All pairs (number of a given fingerprint, number of one in the index) that differ in at most ``radius`` bits."""
+        found = [np.empty(0, dtype=np.int64)]
+        for shift, order, start in self.blocks if len(self.prints) else ():
             key = ((prints >> shift) & np.uint64(len(start) - 2)).astype(np.int64)
-            first, n = start[key], start[key + 1] - start[key]
-            rows = np.repeat(np.arange(len(prints)), n)
-            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            windows = order[np.repeat(first, n) + inner]
-            near = np.bitwise_count(prints[rows] ^ self.prints[windows]) <= RADIUS
-            left.append(rows[near])
-            right.append(windows[near])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pairs[0], pairs[1]
-
-    def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
-        """Weighted Jaccard similarity of the shingles of two windows; shingles no item has weigh as much as the rarest."""
-        x, y = set(self._shingles(a).tolist()), set(self._shingles(b).tolist())
-        rare = float(np.log1p(len(self.items)))
-        total = sum(self.weight.get(s, rare) for s in x | y)
-        return sum(self.weight.get(s, rare) for s in x & y) / total if total else 0.0
-
-    def leaks(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-        """(number of the text, item, longest, windows, best) for each item a text holds something of: words of the longest stretch both have
-        word by word (at least a passage, else 0), windows of the text that reach ``similarity`` with one of the item's, and the best similarity.
-        Fingerprints of all texts propose at once, the words decide."""
-        words = [words_of(t) for t in texts]
+            n = start[key + 1] - start[key]
+            # A portion of keys at a time, so hits of common blocks never pile up.
+            for rows in np.array_split(np.flatnonzero(n), int(n.sum()) // 4_000_000 + 1):
+                many = n[rows]
+                at = np.repeat(rows, many)
+                inner = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                windows = order[np.repeat(start[key[rows]], many) + inner]
+                near = np.bitwise_count(prints[at] ^ self.prints[windows]) <= self.radius
+                found.append(at[near] * len(self.prints) + windows[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(len(self.prints), 1), pairs % max(len(self.prints), 1)
+
+
+class ItemIndex:
+    """Fingerprints of the items' passages (windows of ``passage`` words) and of windows of their own size and of sentence size."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], passage: int = PASSAGE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> None:
+        """``items``: (item_id, word hashes)."""
+        self.least = similarity
+        self.passage = passage
+        self.ids = [i for i, _ in items]
+        self.hashes = [h for _, h in items]
+        prints = [fingerprints(h, passage) for h in self.hashes]
+        self.item = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+        self.at = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.empty(0, dtype=np.int64)
+        self.exact = HammingIndex(np.concatenate(prints) if prints else np.empty(0, dtype=np.uint64), RADIUS)
+        # Weight of a word: rarer among the items, heavier; words no item has weigh as much as the rarest.
+        self.vocabulary, df = np.unique(np.concatenate([np.unique(h) for h in self.hashes]) if items else np.empty(0, dtype=np.uint64), return_counts=True)
+        self.idf = np.log1p(len(items) / df)
+        self.rare = float(np.log1p(max(len(items), 1)))
+        self.flat = np.concatenate(self.hashes) if items else np.empty(0, dtype=np.uint64)
+        self.begin = np.cumsum([0, *(len(h) for h in self.hashes)])
+        self.flat_weight = self.weights(self.flat)
+        self.near: dict[int, tuple[np.ndarray, np.ndarray, int, HammingIndex]] = {}
+        made: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for k, h in enumerate(self.hashes):
+            votes = _votes(h, self._steps(self.flat_weight[self.begin[k] : self.begin[k + 1]])) if len(h) >= 4 * QUARTERS[0] else None
+            for quarter in near_quarters(len(h)):
+                made.setdefault(quarter, []).append((k, *rolling_prints(votes, quarter, max(1, quarter // 3))))
+        for quarter, parts in made.items():
+            owner = np.repeat([k for k, *_ in parts], [len(s) for _, s, _ in parts])
+            at = np.concatenate([s for _, s, _ in parts])
+            self.near[quarter] = (owner, at, self._least_words(owner, at, 4 * quarter, similarity), HammingIndex(np.concatenate([p for *_, p in parts]), radius))
+
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.full(len(h), self.rare)
+        at = np.searchsorted(self.vocabulary, h).clip(max=len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == h, self.idf[at], self.rare)
+
+    def _least_words(self, k: np.ndarray, q: np.ndarray, size: int, similarity: float) -> int:
+        """Distinct words without which no text can reach ``similarity`` with any of these item windows: the heaviest of each, until they suffice."""
+        own = (self.begin[k] + q)[:, None] + np.arange(size)
+        share = self.flat_weight[own] * np.minimum(np.minimum(np.arange(size) + 1, size - np.arange(size)), SHINGLE)  # a word counts in up to five shingles
+        order = np.argsort(self.flat[own], axis=1)
+        word, share = np.take_along_axis(self.flat[own], order, 1), np.cumsum(np.take_along_axis(share, order, 1), axis=1)
+        last = np.concatenate((word[:, 1:] != word[:, :-1], np.ones((len(own), 1), dtype=bool)), axis=1)
+        each = np.where(last, share, 0.0)
+        each = np.where(last, each - np.concatenate((np.zeros((len(own), 1)), np.maximum.accumulate(each, axis=1)[:, :-1]), axis=1), 0.0)
+        reached = np.cumsum(-np.sort(-each, axis=1), axis=1) >= similarity * share[:, -1:] - 1e-9
+        return int(reached.argmax(1).min()) + 1
+
+    def _steps(self, weight: np.ndarray) -> np.ndarray:
+        """Weights in a fingerprint's votes: 1 to 3."""
+        return np.ceil(3.0 * weight / self.rare).clip(1, 3)
+
+    def similarity(self, h: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, p: np.ndarray, k: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+        """Weighted five-word-shingle similarity of item windows (item k, from word q) with the text from word p of ``h`` on.
+
+        A shingle counts by the share of its weight that the text has in the same places, at the best of the shifts by up to SHIFT words;
+        where words differ, the heavier one's weight is missed. ``low`` and ``high`` bound the text that p lies in.
+        """
+        j = np.arange(size)
+        own = (self.begin[k] + q)[:, None] + j
+        item, wi = self.flat[own], self.flat_weight[own]
+        sums = lambda x: (c := np.concatenate((np.zeros((len(x), 1)), np.cumsum(x, axis=1)), axis=1))[:, SHINGLE:] - c[:, :-SHINGLE]
+        best = np.zeros((len(p), size - SHINGLE + 1))
+        for shift in range(-SHIFT, SHIFT + 1):
+            at = p[:, None] + j + shift
+            inside = (at >= low[:, None]) & (at < high[:, None])
+            at = at.clip(0, len(h) - 1)
+            same = inside & (h[at] == item)
+            best = np.maximum(best, sums(wi * same))
+        return best.sum(1) / sums(wi).sum(1)
+
+    def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
+        """(number of the text, item, longest, windows, near, best) for each item a text holds something of: words of the longest stretch both have
+        word by word (at least a passage, else 0), windows of a passage's size that are an item's word by word, windows that are near copies, and the
+        best similarity. Fingerprints of all texts propose at once, the words decide."""
+        words = [_hashes(words_of(t)) for t in texts]
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        start = np.cumsum(size) - size
-        h = _hashes([w for own in words for w in own])
+        end = np.cumsum(size)
+        start = end - size
+        h = np.concatenate(words) if words else np.empty(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(words)), size)
+        found: dict[tuple[int, int], list] = {}
+        if not len(h):
+            return []
+        self._passages(h, owner, end, found)
+        self._near_copies(h, owner, start, end, found)
+        return [(t, self.ids[k], *x) for (t, k), x in found.items()]
+
+    def _passages(self, h: np.ndarray, owner: np.ndarray, end: np.ndarray, found: dict) -> None:
+        n = self.passage
         # Windows that would reach into the next text are none.
-        first = np.flatnonzero(np.arange(len(h)) + self.passage <= (start + size)[owner]) if len(h) else np.empty(0, dtype=np.int64)
-        rows, windows = self.candidates(fingerprints(h, self.passage)[first])
-        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, w in zip(first[rows].tolist(), windows.tolist()):
-            by_pair.setdefault((int(owner[r]), int(self.item[w])), []).append((r, int(self.at[w])))
-        found = []
-        for (text, k), hits in by_pair.items():
-            begin, have, own, n = int(start[text]), words[text], self.items[k][1], self.passage
-            best, longest, counted = 0.0, 0, set()
-            streak: dict[int, tuple[int, int]] = {}
-            for r, at in sorted(hits):
-                same = have[r - begin : r - begin + n] == own[at : at + n]
-                s = 1.0 if same else self.similarity(h[r : r + n], self.hashes[k][at : at + n])
-                if s >= similarity:
-                    counted.add(r)
-                best = max(best, s)
-                if same:
-                    last, length = streak.get(r - at, (-2, 0))
-                    streak[r - at] = (r, length + 1 if last == r - 1 else n)
-                    longest = max(longest, streak[r - at][1])
-            if counted:
-                found.append((text, self.items[k][0], longest, len(counted), best))
-        return found
-
-
-#: Characters of texts that are searched at a time.
-TEXT_CHARS = 2_000_000
+        first = np.flatnonzero(np.arange(len(h)) + n <= end[owner])
+        rows, windows = self.exact.candidates(fingerprints(h, n)[first])
+        r, k, at = first[rows], self.item[windows], self.at[windows]
+        same = np.ones(len(r), dtype=bool)
+        for j in range(n):
+            same &= h[r + j] == self.flat[self.begin[k] + at + j]
+        streak: dict[tuple[int, int, int], tuple[int, int]] = {}
+        counted: dict[tuple[int, int], set[int]] = {}
+        for t, i, x, y in zip(owner[r[same]].tolist(), k[same].tolist(), r[same].tolist(), at[same].tolist()):
+            last, length = streak.get((t, i, x - y), (-2, 0))
+            streak[t, i, x - y] = (x, length := length + 1 if last == x - 1 else n)
+            row = found.setdefault((t, i), [0, 0, 0, 1.0])
+            counted.setdefault((t, i), set()).add(x)
+            row[0], row[1] = max(row[0], length), len(counted[t, i])
+
+    def _near_copies(self, h: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray, found: dict) -> None:
+        weight = self.weights(h)
+        votes = _votes(h, self._steps(weight))
+        known = np.concatenate(([0], np.cumsum(self.vocabulary[np.searchsorted(self.vocabulary, h).clip(max=max(len(self.vocabulary) - 1, 0))] == h))) if len(self.vocabulary) else np.zeros(len(h) + 1)
+        for quarter, (item, begins, least, index) in self.near.items():
+            p, prints = strided_prints(votes, quarter)
+            size = 4 * quarter
+            # Windows that would reach into the next text are none; those with too few words of any item cannot be copies.
+            whole = (p + size <= end[owner[p]]) & (known[np.minimum(p + size + SHIFT, len(h))] - known[np.maximum(p - SHIFT, 0)] >= least)
+            p, prints = p[whole], prints[whole]
+            rows, windows = index.candidates(prints)
+            hits: dict[tuple[int, int], set[int]] = {}
+            for a in range(0, len(rows), CANDIDATES):
+                r, k, q = p[rows[a : a + CANDIDATES]], item[windows[a : a + CANDIDATES]], begins[windows[a : a + CANDIDATES]]
+                t = owner[r]
+                s = self.similarity(h, weight, start[t], end[t], r, k, q, size)
+                good = s >= self.least
+                for text, i, x, score in zip(t[good].tolist(), k[good].tolist(), r[good].tolist(), s[good].tolist()):
+                    row = found.setdefault((text, i), [0, 0, 0, 0.0])
+                    row[3] = max(row[3], score)
+                    hits.setdefault((text, i), set()).add(x)
+            for pair, places in hits.items():
+                found[pair][2] += len(places)
+
+
+def near_quarters(n: int) -> list[int]:
+    """Quarters of the windows by which near copies of an item of n words are sought: the largest that lies within it wherever a text's windows fall
+    (the smallest for short items), and that for parts. Items of fewer words than a passage have none."""
+    fit = [x for x in QUARTERS if 5 * x - 1 <= n] or [x for x in QUARTERS[:1] if 4 * x <= n]
+    return sorted({fit[-1], min(fit[-1], PART)}) if fit else []
 
 
 def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -183,39 +306,49 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             begin, chars = i + 1, 0
 
 
-def leaked_items(documents: DataFrame, eval_items: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, longest, windows, similarity): documents holding passages of evaluation items, with the items.
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [_hashes(words_of(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "words"])
+
+
+def leaked_items(documents: DataFrame, eval_items: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(doc_id, item_id, longest, windows, near, similarity): documents holding passages of evaluation items or near copies of them, with the items.
 
-    ``longest`` counts the words of the longest stretch that is word for word an item's, 0 if there is only a near copy;
-    ``windows`` the windows of ``passage`` words that match, ``similarity`` the best of them. Items or documents of fewer
-    words have no window and no rows; null texts have none. A doc_id or item_id that occurs twice keeps the larger figures.
+    ``longest`` counts the words of the longest stretch that is word for word an item's, 0 if there is no passage of at least ``passage`` words;
+    ``windows`` such passages. ``near`` counts windows, of the item's size or of a sentence's, that reach ``similarity`` with the item;
+    ``similarity`` is the best of all, 1 for a passage. Items or documents of fewer words than a passage have no rows; null texts have none.
+    A doc_id or item_id that occurs twice keeps the larger figures.
 
-    Documents are read once where they lie and nothing of them is shuffled but their hits. The evaluation items are
-    the stated query set: they are sent to all tasks in passes of at most WINDOWS_A_PASS windows each.
+    Documents are read once where they lie and nothing of them is shuffled but their hits. The evaluation items are the stated query set:
+    hashes of their words (8 bytes each) go to all tasks, in passes of at most WINDOWS_A_PASS windows each; only more items than that read the documents again.
     """
-    passes: list[list[tuple[int, str]]] = [[]]
+    hashed = eval_items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").mapInArrow(_hashed_words, "item_id long, words array<long>")
+    passes: list[list[tuple[int, np.ndarray]]] = [[]]
     room = WINDOWS_A_PASS
-    for row in eval_items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator():
-        size = len(words_of(row["text"]))
+    for row in hashed.toLocalIterator():
+        h = np.array(row["words"], dtype=np.int64).view(np.uint64)
+        size = sum((len(h) - 4 * x) // max(1, x // 3) + 1 for x in near_quarters(len(h)))
         if size > room and passes[-1]:
             passes.append([])
             room = WINDOWS_A_PASS
-        passes[-1].append((row["item_id"], row["text"]))
+        passes[-1].append((row["item_id"], h))
         room -= size
-    schema = "doc_id long, item_id long, longest int, windows int, similarity double"
+    schema = "doc_id long, item_id long, longest int, windows int, near int, similarity double"
     texts = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     found = None
     for items in passes:
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = ItemIndex(shared.value, passage)
+            index = ItemIndex(shared.value, passage, similarity, radius)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                out = [(ids[begin + t], *x) for begin, texts in _portions(batch.column(1).to_pylist()) for t, *x in index.leaks(texts, similarity)]
-                columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "longest", "windows", "similarity"])
+                out = [(ids[begin + t], *x) for begin, texts in _portions(batch.column(1).to_pylist()) for t, *x in index.leaks(texts)]
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "longest", "windows", "near", "similarity"])
 
         hits = texts.mapInArrow(search, schema)
         found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest", "windows", "similarity")))
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest", "windows", "near", "similarity")))
