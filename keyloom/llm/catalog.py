@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import contamination, grouped_split, mojibake, packing, quantile_digest, reading_level, splitting, visible_text
+from keyloom.llm import contamination, grouped_split, mojibake, packing, quantile_digest, quantile_sql, reading_level, splitting, visible_text
 from keyloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,19 +99,25 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-@query("p7_percentiles")
+@query("p7_percentiles", quantile_sql.PERCENTILES_SQL)
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of gaps and holds per writer, day and key pair, with the certified rank error."""
+    """Percentiles of gaps and holds per writer, day and key pair, with the certified rank error and the digest that merges with others."""
     return _rounded(quantile_digest.named(quantile_digest.key_percentiles(table(spark, d, "key_events"))))
 
 
 @query("p7_pairs")
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same per key pair, from the merged digests of all writers and days, certified against the values."""
-    events, keys = table(spark, d, "key_events"), ["measure", "key_a", "key_b"]
-    leaf = quantile_digest.key_percentiles(events).select(*keys, "writer", "day", "digest")
-    merged = quantile_digest.with_estimates(quantile_digest.merge_digests(leaf, keys, spread=("writer", "day")))
-    return _rounded(quantile_digest.named(quantile_digest.certify(quantile_digest.key_timings(events).select(*keys, "value"), merged, keys)))
+    return _rounded(quantile_digest.named(quantile_digest.pair_percentiles(table(spark, d, "key_events"))))
+
+
+@query("p7_certified", quantile_sql.CERTIFIED_SQL)
+def p7_certified(spark: SparkSession, d: str) -> DataFrame:
+    """The merged digests held against exact facts: counts, ends, and whether the certified error is within three merges' bound."""
+    merged = quantile_digest.pair_percentiles(table(spark, d, "key_events"))
+    digest, bound = F.col("digest"), F.lit(3 * math.pi / (2 * quantile_digest.SIZE)) + 1 / F.col("n")
+    ends = F.get(digest, F.lit(0))["lo"].alias("least"), F.get(digest, F.size(digest) - 1)["hi"].alias("largest")
+    return _rounded(merged.select("measure", "key_a", "key_b", "n", *ends, (F.col("rank_error") <= bound).alias("within")))
 
 
 @query("p7_shards")

@@ -15,10 +15,10 @@ SIZE = 200
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 DAY_MS, HOUR_MS, GAP_MS = 86_400_000, 3_600_000, 1_800_000
 EARLIEST_MS = 946_684_800_000
-#: Rows of a writer's day beyond which the day is worked on by the hour.
-HOT_ROWS = 1_000_000
-#: Writer-days that may be hot; with more, the threshold rises.
-HOT_DAYS = 100_000
+#: Values of a group in a chunk of time that make one partial digest; a chunk with more of them makes several.
+BLOCK = 65_536
+#: Groups of estimates that are broadcast to the values they are certified against (about 150 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
 CENTROID = "struct<mean:double,w:bigint,lo:double,hi:double,before:bigint>"
 LEAF = ("measure", "writer", "day", "key_a", "key_b")
 
@@ -78,31 +78,80 @@ def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE, parts:
     return recluster(flat, keys, size)
 
 
+def merge_gathered(gathered: DataFrame, column: str, size: int = SIZE) -> DataFrame:
+    """``gathered`` with ``digest`` in place of an array column of digests: their centroids sorted and clustered again under the size function, in one pass.
+
+    For groups whose digests are few enough to lie in one row; ``merge_digests`` has no such bound.
+    """
+    kept = [c for c in gathered.columns if c != column]
+    # One column after another, so that what is used often is worked out once.
+    sums = gathered.select(*kept, F.sort_array(F.flatten(F.col(column))).alias("_every"))
+    sums = sums.select(*kept, "_every", F.aggregate("_every", F.lit(0).cast("bigint"), lambda t, c: t + c["w"]).alias("_n"))
+    nothing = F.struct(F.array().cast(f"array<{CENTROID}>").alias("out"), F.lit(None).cast(CENTROID).alias("cur"), F.lit(-1).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("upto"))
+    k_of = lambda upto, w: F.floor(size * (F.asin(2.0 * (upto + w / 2.0) / F.col("_n") - 1.0) / math.pi + 0.5))
+
+    def add(a: Column, c: Column) -> Column:
+        """The open cluster carries the sum of its values in place of the mean, and the number of its cluster."""
+        more = F.struct(
+            a["out"].alias("out"),
+            _centroid(a["cur"]["mean"] + c["mean"] * c["w"], a["cur"]["w"] + c["w"], F.least(a["cur"]["lo"], c["lo"]), F.greatest(a["cur"]["hi"], c["hi"]), a["cur"]["before"]).alias("cur"),
+            a["k"].alias("k"),
+            (a["upto"] + c["w"]).alias("upto"),
+        )
+        fresh = F.struct(
+            F.when(a["cur"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))).alias("out"),
+            _centroid(c["mean"] * c["w"], c["w"], c["lo"], c["hi"], a["upto"]).alias("cur"),
+            k_of(a["upto"], c["w"]).alias("k"),
+            (a["upto"] + c["w"]).alias("upto"),
+        )
+        return F.when(k_of(a["upto"], c["w"]) == a["k"], more).otherwise(fresh)
+
+    single = F.transform("_every", lambda c, i: _centroid(c["mean"], c["w"], c["lo"], c["hi"], i))
+    finish = lambda a: F.transform(F.concat(a["out"], F.array(a["cur"])), lambda c: _centroid(c["mean"] / c["w"], c["w"], c["lo"], c["hi"], c["before"]))
+    return sums.select(*kept, F.when(F.col("_n") <= size, single).otherwise(F.aggregate("_every", nothing, add, finish)).alias("digest"))
+
+
+def digest_text(digest: Column) -> Column:
+    """A digest as text, to be stored and merged elsewhere: values in whole thousandths, and mean:weight:least:largest where one stands for several."""
+    whole = lambda x: F.round(x * 1000).cast("bigint").cast("string")
+    return F.array_join(F.transform(digest, lambda c: F.when(c["w"] == 1, whole(c["mean"])).otherwise(F.concat_ws(":", whole(c["mean"]), c["w"].cast("string"), whole(c["lo"]), whole(c["hi"])))), " ")
+
+
+def digest_of_text(text: Column) -> Column:
+    """The digest that ``digest_text`` wrote; null for null, empty for an empty text."""
+    number = lambda parts, i, other: F.coalesce(F.get(parts, F.lit(i)).cast("double"), other)
+
+    def centroid(x: Column) -> Column:
+        parts = F.split(x, ":")
+        mean = F.get(parts, F.lit(0)).cast("double") / 1000.0
+        return _centroid(mean, number(parts, 1, F.lit(1.0)), number(parts, 2, mean * 1000.0) / 1000.0, number(parts, 3, mean * 1000.0) / 1000.0, F.lit(0))
+
+    # ``before`` is counted again by a merge of the one digest.
+    return F.when(text == "", F.array().cast(f"array<{CENTROID}>")).otherwise(F.transform(F.split(text, " "), centroid))
+
+
 def digest_count(digest: Column) -> Column:
     """Number of values a digest stands for."""
     last = F.get(digest, F.size(digest) - 1)
     return F.coalesce(last["before"] + last["w"], F.lit(0))
 
 
-def estimate(digest: Column, p: float) -> Column:
-    """The p-quantile of a digest: linear between the middle ranks of neighbouring centroids and the least and largest value.
+def with_estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """``digests`` with ``n`` and ``estimates``, an array in the order of ``percentiles``.
 
-    For single values that is the usual linear interpolation; an empty or null digest gives null.
+    An estimate is linear between the middle ranks of the last centroid up to its rank and of the first beyond it, and the least and
+    largest value at the ends. For single values that is the usual linear interpolation; an empty or null digest gives nulls.
     """
-    n = digest_count(digest)
-    t = F.lit(float(p)) * (n - 1)
-    middle = lambda c: c["before"] + (c["w"] - 1) / 2.0
-    i = F.size(F.filter(digest, lambda c: middle(c) <= t))
-    a, b = F.get(digest, i - 1), F.get(digest, i)
-    low_rank, low = F.coalesce(middle(a), F.lit(0.0)), F.coalesce(a["mean"], F.get(digest, F.lit(0))["lo"])
-    high_rank, high = F.coalesce(middle(b), (n - 1).cast("double")), F.coalesce(b["mean"], a["hi"])
-    return F.when(high_rank > low_rank, low + (high - low) * (t - low_rank) / (high_rank - low_rank)).otherwise(low)
-
-
-def with_estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """``digests`` with ``n`` and ``estimates``, an array in the order of ``percentiles``."""
-    d = F.col("digest")
-    return digests.withColumns({"n": digest_count(d), "estimates": F.array(*(estimate(d, p) for p in percentiles))})
+    none = f"CAST(NULL AS {CENTROID})"
+    middle = lambda c: f"({c}.before + ({c}.w - 1) / 2.0D)"
+    estimate = f"""transform(array({", ".join(f"{p}D" for p in percentiles)}), p -> get(transform(array(
+        aggregate(digest, named_struct('a', {none}, 'b', {none}), (s, c) -> CASE
+            WHEN {middle("c")} <= p * (n - 1) THEN named_struct('a', c, 'b', {none})
+            WHEN s.b IS NULL THEN named_struct('a', s.a, 'b', c) ELSE s END)),
+        s -> get(transform(array(named_struct(
+            'ra', coalesce({middle("s.a")}, 0D), 'va', coalesce(s.a.mean, s.b.lo), 'rb', coalesce({middle("s.b")}, CAST(n - 1 AS DOUBLE)), 'vb', coalesce(s.b.mean, s.a.hi))),
+            x -> CASE WHEN x.rb > x.ra THEN x.va + (x.vb - x.va) * (p * (n - 1) - x.ra) / (x.rb - x.ra) ELSE x.va END), 0)), 0))"""
+    return digests.withColumn("n", digest_count(F.col("digest"))).withColumn("estimates", F.expr(estimate))
 
 
 def _rank_error(below: Column, upto: Column, n: Column, p: Column) -> Column:
@@ -118,14 +167,17 @@ def certify(values: DataFrame, estimated: DataFrame, keys: list[str], percentile
     """``estimated`` with ``rank_error``: the largest distance, over the percentiles, between p and the true ranks of its estimate.
 
     The second counting pass: values are counted by group and value before anything moves, then compared with their
-    group's estimates. Ranks are exact, so the error is a certificate and not a forecast.
+    group's estimates. Ranks are exact, so the error is a certificate and not a forecast. ``estimated`` is written to the
+    shared folder first, as it is read twice; up to BROADCAST_GROUPS groups of it go to the values, more are joined by a shuffle.
     """
+    estimated = cut_lineage(estimated)
+    sent = F.broadcast(estimated) if estimated.count() <= BROADCAST_GROUPS else estimated
     counted = values.groupBy(*keys, "value").agg(F.count("*").alias("c"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    pairs = counted.alias("c").join(estimated.alias("e"), condition).select(*(F.col(f"e.{k}") for k in keys), "value", "c", "estimates")
+    pairs = counted.alias("c").join(sent.alias("e"), condition).select(*(F.col(f"e.{k}") for k in keys), "value", "c", "estimates")
     sums = []
     for i in range(len(percentiles)):
         x = F.col("estimates")[i]
@@ -140,91 +192,91 @@ def certify(values: DataFrame, estimated: DataFrame, keys: list[str], percentile
 
 
 def _presses(events: DataFrame) -> DataFrame:
-    """Usable events with the fields timings need; hold is null unless release is a number not before press."""
+    """Usable events, once per event_id, with the fields timings need; hold is null unless release is a number not before press.
+
+    If deliveries of one event_id disagree, the smallest (press, writer, ...) counts, as in the sessions of problem 1.
+    """
     press, release = F.col("press_time").cast("double"), F.col("release_time").cast("double")
     usable = F.col("event_id").isNotNull() & (F.trim("writer") != "") & press.isNotNull() & ~F.isnan(press) & (press >= EARLIEST_MS) & (press < float("inf"))
     kind = F.lower(F.trim("event_type")) == "key"
     hold = F.when((release >= press) & ~F.isnan(release) & (release < float("inf")), release - press)
-    return events.filter(usable).select("event_id", "writer", press.alias("press"), F.when(kind, hold).alias("hold"), F.when(kind, F.col("key_char")).alias("char"))
+    rows = events.filter(usable).select("event_id", press.alias("press"), "writer", F.when(kind, F.col("key_char")).alias("char"), F.when(kind, hold).alias("hold"))
+    one = rows.repartition("event_id").groupBy("event_id").agg(F.min(F.struct("press", "writer", "char", "hold")).alias("e"))
+    return one.select("event_id", "e.*")
 
 
-def _timings(presses: DataFrame, chunk_ms: int) -> DataFrame:
-    """(writer, chunk, measure, day, key_a, key_b, value), worked out per writer and chunk of time.
+def key_timings(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(writer, chunk, block, measure, day, key_a, key_b, value) of all gaps and holds; day counts from 1970-01-01, key_b is empty for holds.
 
-    A chunk also gets the events of the last half hour before it, so the first gap in it is known; gaps longer than that
-    part two sessions and are no gaps in typing. Repeated deliveries are neighbours in (press, event_id) order and count once.
+    Time is cut into chunks of the longest gap, so the press before an event lies in its chunk or is the last one of the
+    chunk before: each chunk is handed that one event, and gaps are worked out per writer and chunk. Longer gaps part two
+    sessions and are no gaps in typing. ``block`` numbers a chunk's values in portions.
     """
-    own = F.floor(F.col("press") / chunk_ms)
-    late = F.col("press") % chunk_ms >= chunk_ms - GAP_MS
-    carried = presses.withColumn("chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    presses = _presses(events)
+    own = presses.select("writer", F.floor(F.col("press") / GAP_MS).alias("chunk"), F.struct("press", "event_id", "char", "hold").alias("e"))
+    carried = own.groupBy("writer", "chunk").agg(F.max("e").alias("e")).select("writer", (F.col("chunk") + 1).alias("chunk"), "e")
+    rows = own.withColumn("own", F.lit(True)).unionByName(carried.withColumn("own", F.lit(False))).select("writer", "chunk", "e.*", "own")
     order = W.partitionBy("writer", "chunk").orderBy("press", "event_id")
-    once = carried.withColumn("_id", F.lag("event_id").over(order)).filter("_id is null or _id <> event_id")
-    paired = once.withColumns({"_p": F.lag("press").over(order), "_c": F.lag("char").over(order)}).filter(F.col("chunk") == own)
-    gap = F.when(F.col("char").isNotNull() & F.col("_c").isNotNull() & (F.col("press") - F.col("_p") <= GAP_MS), F.col("press") - F.col("_p"))
+    paired = rows.withColumns({"_p": F.lag("press").over(order), "_c": F.lag("char").over(order), "_i": F.row_number().over(order)}).filter("own")
+    step = F.col("press") - F.col("_p")
+    gap = F.when(F.col("char").isNotNull() & F.col("_c").isNotNull() & (step <= GAP_MS), step)
     long = F.array(
         F.struct(F.lit("gap").alias("measure"), F.col("_c").alias("key_a"), F.col("char").alias("key_b"), gap.alias("value")),
-        F.struct(F.lit("hold").alias("measure"), F.col("char").alias("key_a"), F.lit(None).cast("string").alias("key_b"), F.when(F.col("char").isNotNull(), F.col("hold")).alias("value")),
+        F.struct(F.lit("hold").alias("measure"), F.col("char").alias("key_a"), F.lit("").alias("key_b"), F.when(F.col("char").isNotNull(), F.col("hold")).alias("value")),
     )
-    rows = paired.select("writer", "chunk", F.floor(F.col("press") / DAY_MS).cast("int").alias("day"), F.explode(long).alias("t"))
-    return rows.select("writer", "chunk", "day", "t.*").filter("value is not null")
+    day, portion = F.floor(F.col("chunk") * GAP_MS / DAY_MS).cast("int").alias("day"), F.floor(F.col("_i") / block).alias("block")
+    return paired.select("writer", "chunk", portion, day, F.explode(long).alias("t")).select("writer", "chunk", "block", "day", "t.*").filter("value is not null")
 
 
-def _hot_days(presses: DataFrame, hot_rows: int) -> DataFrame:
-    """(writer, day) with more than ``hot_rows`` events; at most HOT_DAYS of them, since no more can hold the share asked for."""
-    per_day = presses.groupBy("writer", F.floor(F.col("press") / DAY_MS).alias("day")).agg(F.count("*").alias("c"))
-    least = per_day.agg((F.sum("c") / HOT_DAYS).alias("least"))
-    return per_day.crossJoin(F.broadcast(least)).filter((F.col("c") > hot_rows) & (F.col("c") > F.col("least"))).select("writer", F.col("day").alias("hot_day"))
+def _sorted_parts(timings: DataFrame) -> DataFrame:
+    """The values of each group in each chunk and block as one sorted array ``v``; no exchange, as chunks lie together."""
+    return timings.groupBy("writer", "chunk", "block", "day", "measure", "key_a", "key_b").agg(F.sort_array(F.collect_list("value")).alias("v"))
 
 
-def key_timings(events: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
-    """(measure, writer, day, key_a, key_b, value) of all gaps and holds; day counts from 1970-01-01."""
-    return _timings(_presses(events), chunk_ms).select(*LEAF, "value")
+def _unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("key_b", F.when(F.col("measure") == "gap", F.col("key_b")))
 
 
-def key_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, size: int = SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def key_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """(measure, writer, day, key_a, key_b, n, digest, estimates, rank_error) of each writer's day and key pair.
 
     measure is ``gap`` (press of key_a to the press of key_b right after it) or ``hold`` (key_a, no key_b).
-    A usual day of a writer is one partition: gaps, digests and the counting pass share the one exchange that sorts the
-    events. Days of more than ``hot_rows`` events are worked on by the hour: partial digests, merged, then counted.
+    Chunks of half an hour are worked on apart, so a writer's day is spread over many tasks. Each chunk's values of a group are
+    sorted and go once to the group's task, in arrays of at most ``block`` values; there every array becomes a digest, the digests
+    are merged, and a second pass over the same arrays counts the ranks of the estimates. What a group's task holds at a time is
+    one array and the digests: ``size`` + 1 centroids for each chunk of the day and each ``block`` values.
     Events that cannot be used (see ``_presses``) have no timing; an empty table gives no rows.
     """
-    presses = _presses(events)
-    hot_days = cut_lineage(_hot_days(presses, hot_rows))
-    any_hot = bool(hot_days.head(1))
-    hot_days = F.broadcast(hot_days)
-
-    def of_days(how: str, reach: int) -> DataFrame:
-        # A day's first gap needs the end of the day before, so that half hour goes with either kind of day.
-        day = F.floor((F.col("press") + reach) / DAY_MS)
-        return presses.join(hot_days, (presses["writer"] == hot_days["writer"]) & (day == hot_days["hot_day"]), how)
-
-    calm = _timings(presses, DAY_MS)
-    if any_hot:
-        calm = calm.join(hot_days.withColumnRenamed("writer", "_w"), (F.col("writer") == F.col("_w")) & (F.col("day") == F.col("hot_day")), "left_anti")
-    grouped = calm.groupBy("writer", "chunk", "day", "measure", "key_a", "key_b").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    cold = with_estimates(grouped.select(*LEAF, "v", digest_of_sorted("v", size).alias("digest")), percentiles)
+    # Both passes read this exchange.
+    parts = _sorted_parts(key_timings(events, block)).select(*LEAF, "v").repartition(*LEAF)
+    gathered = parts.select(*LEAF, digest_of_sorted("v", size).alias("d")).groupBy(*LEAF).agg(F.collect_list("d").alias("d"))
+    merged = with_estimates(merge_gathered(gathered, "d", size), percentiles)
     ranks = []
-    for i, p in enumerate(percentiles):
+    for i in range(len(percentiles)):
         below, upto = _ranks_of("v", F.col("estimates")[i])
-        ranks.append(_rank_error(below, upto, F.col("n"), F.lit(p)))
-    cold = cold.select(*LEAF, "n", "digest", "estimates", F.array_max(F.array(*ranks)).alias("rank_error"))
+        ranks += [F.sum(below).alias(f"_b{i}"), F.sum(upto).alias(f"_u{i}")]
+    counted = parts.join(merged, list(LEAF)).groupBy(*LEAF).agg(*(F.first(c).alias(f"_{c}") for c in ("n", "digest", "estimates")), *ranks)
+    worst = F.array_max(F.array(*(_rank_error(F.col(f"_b{i}"), F.col(f"_u{i}"), F.col("_n"), F.lit(p)) for i, p in enumerate(percentiles))))
+    return _unkeyed(counted.select(*LEAF, F.col("_n").alias("n"), F.col("_digest").alias("digest"), F.col("_estimates").alias("estimates"), worst.alias("rank_error")))
+
 
-    if not any_hot:
-        return cold
-    near = of_days("left_semi", 0).unionByName(of_days("left_semi", GAP_MS).filter(F.col("press") % DAY_MS >= DAY_MS - GAP_MS)).distinct()
-    timed = _timings(near, HOUR_MS).join(hot_days.withColumnRenamed("writer", "_w"), (F.col("writer") == F.col("_w")) & (F.col("day") == F.col("hot_day")), "left_semi")
-    single = timed.select(*LEAF, "chunk", F.col("value").alias("mean"), F.lit(1).cast("bigint").alias("w"), F.col("value").alias("lo"), F.col("value").alias("hi"))
-    partial = recluster(single, [*LEAF, "chunk"], size)
-    merged = with_estimates(merge_digests(partial, list(LEAF), size, parts=1), percentiles)
-    hot = certify(timed.select(*LEAF, "value"), merged, list(LEAF), percentiles).select(*LEAF, "n", "digest", "estimates", "rank_error")
-    return cold.unionByName(hot)
+def pair_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+    """(measure, key_a, key_b, n, digest, estimates, rank_error) over all writers and days.
+
+    The digests of all chunks are merged without regard to who typed; a pair that holds a third of all rows is merged in parts.
+    """
+    keys = ["measure", "key_a", "key_b"]
+    timings = key_timings(events, block)
+    leaf = _sorted_parts(timings).select(*keys, "writer", "chunk", digest_of_sorted("v", size).alias("digest"))
+    merged = with_estimates(merge_digests(leaf, keys, size, spread=("writer", "chunk")), percentiles)
+    return _unkeyed(certify(timings.select(*keys, "value"), merged, keys, percentiles))
 
 
 def named(estimated: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """The estimates as columns p10, p25 ... instead of an array."""
+    """The estimates as columns p10, p25 ... instead of an array, and the digest as text."""
+    estimated = estimated.withColumn("digest", digest_text(F.col("digest")))
     named_columns = [F.col("estimates")[i].alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(percentiles)]
-    return estimated.select(*(c for c in estimated.columns if c not in ("estimates", "digest")), *named_columns)
+    return estimated.select(*(c for c in estimated.columns if c != "estimates"), *named_columns)
 
 
 def repaired_medians(stats: DataFrame) -> DataFrame:

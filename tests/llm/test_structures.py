@@ -153,7 +153,7 @@ def timings(rows):
     return out
 
 
-def test_percentiles_cold_and_hot(spark):
+def test_percentiles_of_chunks_and_blocks(spark):
     r = random.Random(5)
     base, rows = 1_700_006_400_000.0 - 500_000, []  # half before, half after midnight
     t = defaultdict(lambda: base)
@@ -164,8 +164,8 @@ def test_percentiles_cold_and_hot(spark):
     rows += [(*x[:6], "late") for x in r.sample(rows, 300)]
     truth = timings(rows)
     df = spark.createDataFrame(rows, EVENTS)
-    for size, hot in ((200, 10**6), (20, 10**6), (200, 30), (20, 30)):
-        got = quantile_digest.key_percentiles(df, size=size, hot_rows=hot).collect()
+    for size, block in ((200, 65_536), (20, 65_536), (200, 30), (20, 7)):
+        got = quantile_digest.key_percentiles(df, size=size, block=block).collect()
         assert {(x.measure, x.writer, x.day, x.key_a, x.key_b) for x in got} == set(truth) and len(got) == len(truth)
         for x in got:
             values = np.sort(truth[x.measure, x.writer, x.day, x.key_a, x.key_b])
@@ -174,7 +174,26 @@ def test_percentiles_cold_and_hot(spark):
                 assert x.estimates == pytest.approx(np.quantile(values, quantile_digest.PERCENTILES).tolist())
             worst = max(max(0.0, (values < e).sum() / x.n - p, p - (values <= e).sum() / x.n) for e, p in zip(x.estimates, quantile_digest.PERCENTILES))
             assert x.rank_error == pytest.approx(worst, abs=1e-9) and x.rank_error <= 1 / x.n + 4 / size
-    assert quantile_digest.key_percentiles(df.limit(0)).count() == 0
+        for x in quantile_digest.pair_percentiles(df, size=size, block=block).collect():
+            values = np.concatenate([v for (m, _, _, a, b), v in truth.items() if (m, a, b) == (x.measure, x.key_a, x.key_b)] or [[]])
+            assert len(values), (x, set(truth))
+            assert x.n == len(values) and x.digest[0].lo == values.min() and x.digest[-1].hi == values.max() and x.rank_error <= 1 / x.n + 6 / size
+    assert quantile_digest.key_percentiles(df.limit(0)).count() == 0 and quantile_digest.pair_percentiles(df.limit(0)).count() == 0
+    # A repeated event_id with another press time is one event, as in the sessions.
+    moved = spark.createDataFrame([(1, "w", "key", base, base + 5, "a", "x"), (1, "w", "key", base + 40, base + 45, "a", "y"), (2, "w", "key", base + 100, base + 105, "b", "x")], EVENTS)
+    assert {(x.measure, x.estimates[0]) for x in quantile_digest.key_percentiles(moved).collect()} == {("gap", 100.0), ("hold", 5.0)}
+
+
+def test_digests_as_text(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(k, [float(round(r.expovariate(0.01), 2)) for _ in range(n)]) for k, n in (("a", 0), ("b", 1), ("c", 200), ("d", 1000))] + [("e", None)], "k string, v array<double>")
+    made = df.select("k", F.when(F.col("v").isNotNull(), quantile_digest.digest_of_sorted("v", 50)).alias("digest")).withColumn("digest", F.expr("array_sort(digest)"))
+    back = made.select("k", "digest", quantile_digest.digest_text(F.col("digest")).alias("t")).withColumn("back", quantile_digest.digest_of_text(F.col("t"))).collect()
+    for x in back:
+        if x.digest is None:
+            assert x.t is None and x.back is None
+            continue
+        assert [(c.w, c.lo, c.hi) for c in x.back] == [(c.w, c.lo, c.hi) for c in x.digest] and [c.mean for c in x.back] == pytest.approx([c.mean for c in x.digest], abs=6e-4)
 
 
 def test_merging_digests(spark):
