@@ -102,13 +102,13 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query("p7_percentiles", quantile_sql.PERCENTILES_SQL)
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of gaps and holds per writer, day and key pair, with the certified rank error and the digest that merges with others."""
-    return _rounded(quantile_digest.named(quantile_digest.key_percentiles(table(spark, d, "key_events"))))
+    return quantile_digest.named(quantile_digest.key_percentiles(table(spark, d, "key_events")))
 
 
 @query("p7_pairs")
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same per key pair, from the merged digests of all writers and days, certified against the values."""
-    return _rounded(quantile_digest.named(quantile_digest.pair_percentiles(table(spark, d, "key_events"))))
+    return quantile_digest.named(quantile_digest.pair_percentiles(table(spark, d, "key_events")))
 
 
 @query("p7_certified", quantile_sql.CERTIFIED_SQL)

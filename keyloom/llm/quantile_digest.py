@@ -113,7 +113,7 @@ def merge_gathered(gathered: DataFrame, column: str, size: int = SIZE) -> DataFr
 
 def digest_text(digest: Column) -> Column:
     """A digest as text, to be stored and merged elsewhere: values in whole thousandths, and mean:weight:least:largest where one stands for several."""
-    whole = lambda x: F.round(x * 1000).cast("bigint").cast("string")
+    whole = lambda x: F.floor(x * 1000 + 0.5).cast("string")
     return F.array_join(F.transform(digest, lambda c: F.when(c["w"] == 1, whole(c["mean"])).otherwise(F.concat_ws(":", whole(c["mean"]), c["w"].cast("string"), whole(c["lo"]), whole(c["hi"])))), " ")
 
 
@@ -142,15 +142,12 @@ def with_estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTI
     An estimate is linear between the middle ranks of the last centroid up to its rank and of the first beyond it, and the least and
     largest value at the ends. For single values that is the usual linear interpolation; an empty or null digest gives nulls.
     """
-    none = f"CAST(NULL AS {CENTROID})"
     middle = lambda c: f"({c}.before + ({c}.w - 1) / 2.0D)"
-    estimate = f"""transform(array({", ".join(f"{p}D" for p in percentiles)}), p -> get(transform(array(
-        aggregate(digest, named_struct('a', {none}, 'b', {none}), (s, c) -> CASE
-            WHEN {middle("c")} <= p * (n - 1) THEN named_struct('a', c, 'b', {none})
-            WHEN s.b IS NULL THEN named_struct('a', s.a, 'b', c) ELSE s END)),
-        s -> get(transform(array(named_struct(
-            'ra', coalesce({middle("s.a")}, 0D), 'va', coalesce(s.a.mean, s.b.lo), 'rb', coalesce({middle("s.b")}, CAST(n - 1 AS DOUBLE)), 'vb', coalesce(s.b.mean, s.a.hi))),
-            x -> CASE WHEN x.rb > x.ra THEN x.va + (x.vb - x.va) * (p * (n - 1) - x.ra) / (x.rb - x.ra) ELSE x.va END), 0)), 0))"""
+    estimate = f"""transform(array({", ".join(f"{p}D" for p in percentiles)}), p -> get(transform(array(size(filter(digest, c -> {middle("c")} <= p * (n - 1)))),
+        i -> get(transform(array(named_struct('a', get(digest, i - 1), 'b', get(digest, i))),
+            s -> get(transform(array(named_struct(
+                'ra', coalesce({middle("s.a")}, 0D), 'va', coalesce(s.a.mean, s.b.lo), 'rb', coalesce({middle("s.b")}, CAST(n - 1 AS DOUBLE)), 'vb', coalesce(s.b.mean, s.a.hi))),
+                x -> CASE WHEN x.rb > x.ra THEN x.va + (x.vb - x.va) * (p * (n - 1) - x.ra) / (x.rb - x.ra) ELSE x.va END), 0)), 0)), 0))"""
     return digests.withColumn("n", digest_count(F.col("digest"))).withColumn("estimates", F.expr(estimate))
 
 
@@ -272,11 +269,16 @@ def pair_percentiles(events: DataFrame, percentiles: tuple[float, ...] = PERCENT
     return _unkeyed(certify(timings.select(*keys, "value"), merged, keys, percentiles))
 
 
+def millionths(x: Column) -> Column:
+    """A double rounded to six places in plain arithmetic; decimal rounding would cost more than the percentiles do."""
+    return F.floor(x * 1_000_000.0 + 0.5) / 1_000_000.0
+
+
 def named(estimated: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """The estimates as columns p10, p25 ... instead of an array, and the digest as text."""
-    estimated = estimated.withColumn("digest", digest_text(F.col("digest")))
-    named_columns = [F.col("estimates")[i].alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(percentiles)]
-    return estimated.select(*(c for c in estimated.columns if c != "estimates"), *named_columns)
+    """The estimates and the rank error rounded to six places, the former as columns p10, p25 ... instead of an array, and the digest as text."""
+    named_columns = [millionths(F.col("estimates")[i]).alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(percentiles)]
+    made = {"digest": digest_text(F.col("digest")), "rank_error": millionths(F.col("rank_error"))}
+    return estimated.select(*(made.get(c, F.col(c)).alias(c) for c in estimated.columns if c != "estimates"), *named_columns)
 
 
 def repaired_medians(stats: DataFrame) -> DataFrame:

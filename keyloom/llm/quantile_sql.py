@@ -25,11 +25,11 @@ q AS (SELECT x.measure, x.writer, x.day, x.key_a, x.key_b, x.n, x.p, x.est, coun
       FROM x JOIN t USING (measure, writer, day, key_a, key_b) GROUP BY x.measure, x.writer, x.day, x.key_a, x.key_b, x.n, x.p, x.est),
 f AS (SELECT *, greatest(0.0, below / n - p, p - upto / n) AS err FROM q),
 d AS (SELECT measure, writer, day, key_a, key_b,
-        string_agg(CASE WHEN w = 1 THEN round(mean * 1000)::BIGINT::VARCHAR ELSE concat_ws(':', round(mean * 1000)::BIGINT, w, round(lo * 1000)::BIGINT, round(hi * 1000)::BIGINT) END, ' ' ORDER BY k) AS digest
+        string_agg(CASE WHEN w = 1 THEN floor(mean * 1000 + 0.5)::BIGINT::VARCHAR ELSE concat_ws(':', floor(mean * 1000 + 0.5)::BIGINT, w, floor(lo * 1000 + 0.5)::BIGINT, floor(hi * 1000 + 0.5)::BIGINT) END, ' ' ORDER BY k) AS digest
       FROM c GROUP BY ALL)
-SELECT measure, writer, day, key_a, CASE WHEN measure = 'gap' THEN f.key_b END AS key_b, n, digest, round(max(err), 6) AS rank_error,
-    round(max(est) FILTER (p = 0.1), 6) AS p10, round(max(est) FILTER (p = 0.25), 6) AS p25, round(max(est) FILTER (p = 0.5), 6) AS p50,
-    round(max(est) FILTER (p = 0.75), 6) AS p75, round(max(est) FILTER (p = 0.9), 6) AS p90, round(max(est) FILTER (p = 0.99), 6) AS p99
+SELECT measure, writer, day, key_a, CASE WHEN measure = 'gap' THEN f.key_b END AS key_b, n, digest, floor(max(err) * 1000000 + 0.5) / 1000000 AS rank_error,
+    floor(max(est) FILTER (p = 0.1) * 1000000 + 0.5) / 1000000 AS p10, floor(max(est) FILTER (p = 0.25) * 1000000 + 0.5) / 1000000 AS p25, floor(max(est) FILTER (p = 0.5) * 1000000 + 0.5) / 1000000 AS p50,
+    floor(max(est) FILTER (p = 0.75) * 1000000 + 0.5) / 1000000 AS p75, floor(max(est) FILTER (p = 0.9) * 1000000 + 0.5) / 1000000 AS p90, floor(max(est) FILTER (p = 0.99) * 1000000 + 0.5) / 1000000 AS p99
 FROM f JOIN d USING (measure, writer, day, key_a, key_b) GROUP BY measure, writer, day, key_a, f.key_b, n, digest"""
 
 #: What must hold of every merged digest: it counts all values, keeps the ends, and its certified error stays within the method's bound.
