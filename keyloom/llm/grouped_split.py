@@ -15,7 +15,7 @@ from keyloom.session import cut_lineage
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Sizes up to EXACT are their own class; larger ones fall in classes STEP apart, which bounds the bundles.
-EXACT, STEP = 256, 1.02
+EXACT, STEP = 32, 1.15
 #: Hash buckets by which the members of a bundle are put in order without one task seeing them all.
 BUCKETS = 1024
 
@@ -183,7 +183,7 @@ def assign_splits(members: DataFrame, shares: tuple[float, ...] = SHARES, seed:
     """(component, split) for ``members`` (component, label), one row per record.
 
     Components are bundled by size and label profile (the label most of their records carry, the first in order on
-    ties). Sizes above 256 share classes 2 % apart, so there are at most about 1,400 bundles a label, of which only
+    ties). Sizes above 32 share classes 15 % apart, so there are at most about 160 bundles a label, of which only
     counts and weights reach the driver. Labels should be few; anything but two letters counts as ``other``.
     Within a bundle, components are taken in the order of a seeded hash: stable for the same data, unrelated to ids.
     """

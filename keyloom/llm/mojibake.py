@@ -17,10 +17,6 @@ from keyloom.session import cut_lineage, partitions
 #: Encodings a UTF-8 text may have been read in, tried in this order (the order breaks ties).
 CODECS = ("cp1252", "cp1251", "cp850", "cp437", "mac_roman", "cp1250", "koi8_r", "cp866", "cp852", "iso8859_15", "iso8859_2", "iso8859_5", "mac_cyrillic", "cp1253", "cp1254", "cp1257")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
-#: Layers of wrong decoding that are undone.
-LAYERS = 4
-#: Partly undone versions of a text that are followed from one layer to the next.
-BEAM = 3
 #: Characters around an improbable run that the inverse mappings may use.
 MARGIN = 3
 #: Pseudo-count of a pair, and how much better (in nats) a restored text must score.
@@ -51,8 +47,8 @@ def _tables() -> list[dict[int, str]]:
 _BYTES = _tables()
 #: Encodings of one byte a character that may have been taken for one another: (what a text was in, what it was read in).
 CONFUSED = tuple((a, b) for a in ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252") for b in ("cp1252", "cp1251", "koi8_r", "cp866", "cp850", "cp437", "mac_roman") if a != b)
-#: Characters above ASCII a text needs before it is tried in another one-byte encoding, and the gain (nats a pair) that is asked for.
-LEAST_WIDE, PAIR_GAIN = 8, 2.0
+#: Gain, in nats a pair and in all, for which a text is taken to be in another one-byte encoding: the fewer its wide characters, the more each must say.
+PAIR_GAIN, WHOLE_GAIN = 2.0, 16.0
 
 
 def _confusions() -> list[dict[int, str]]:
@@ -145,6 +141,7 @@ class PairModel:
         n = counts.reshape(SYMBOLS, SYMBOLS).astype(np.float64)
         expected = np.outer(n.sum(1), n.sum(0)) / max(n.sum(), 1.0)
         self.log = np.log(n + PSEUDO).astype(np.float32).ravel()
+        self.most = float(self.log.max())
         self.seen = n.sum(0) + n.sum(1) > 0
         self.pmi = np.log((n + PSEUDO) / (np.maximum(expected, 1.0) + PSEUDO)).astype(np.float32).ravel()
 
@@ -205,10 +202,12 @@ class PairModel:
     def swapped(self, text: str) -> str | None:
         """The text in the one-byte encoding that makes it far more familiar, if there is one that all its wide characters allow."""
         wide = _wide(text)
-        if len(wide) < LEAST_WIDE:
+        if not wide:
             return None
         points = set(map(ord, wide))
-        best, most = None, self.familiarity(text) + PAIR_GAIN
+        best, most = None, self.familiarity(text) + max(PAIR_GAIN, WHOLE_GAIN / len(wide))
+        if most >= self.most:
+            return None  # nothing could be that familiar
         for table in _SWAPS:
             if all(p in table for p in points):
                 tried = text.translate(table)
@@ -222,29 +221,30 @@ class PairModel:
         begun = [_BLANKED.sub("Ã\xa0", t) for t in texts]
         beams = {i: [(self.cost(t), t)] for i, t in enumerate(begun) if len(t) > 1 and not t.isascii()}
         best = {i: b[0] for i, b in beams.items()}
-        for layer in range(LAYERS):
-            # Within the first layer the cheapest reading wins; each further one must be worth it.
-            done = 1.0 if layer else 0.0
+        met = {(i, text) for i, beam in beams.items() for _, text in beam}
+        done = 0.0
+        # Layer by layer, all distinct partial readings; undoing makes a text shorter, so this ends.
+        while beams:
             at = [(i, cost, text) for i, beam in beams.items() for cost, text in beam]
             beams = {}
             for (i, _cost, now), span in zip(at, self.runs([t for *_, t in at])):
                 for table in _BYTES if span else ():
                     tried = _undo(now, table, span)
-                    if tried != now:
+                    if tried != now and (i, tried) not in met:
+                        met.add((i, tried))
                         beams.setdefault(i, []).append((self.cost(tried), tried))
             for i, found in beams.items():
                 found.sort(key=lambda x: x[0])  # stable: equal costs stay in the order of CODECS
-                beams[i] = list(dict.fromkeys(found))[:BEAM]
-                for cost, text in beams[i]:
+                for cost, text in found:
+                    # Within the first layer the cheapest reading wins; each further one must be worth it.
                     if cost < best[i][0] - GAIN * done and self.sound(begun[i], text):
                         best[i] = (cost, text)
-            if not beams:
-                break
+            done = 1.0
         for i, (cost, text) in best.items():
             if text != begun[i] and cost < self.cost(begun[i]) - GAIN:
                 out[i] = text
         # One-byte text in the wrong table: where most wide characters are improbable, and that explains more than multi-byte readings.
-        many = [i for i in best if len(_wide(texts[i])) >= LEAST_WIDE]
+        many = list(best)
         for i, spans in zip(many, self.runs([texts[i] for i in many])):
             inside = sum(len(_wide(texts[i][a:b])) for a, b in spans)
             if inside * 2 >= len(_wide(texts[i])) and (found := self.swapped(texts[i])) is not None and self.cost(found) < self.cost(out[i]) - GAIN:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from keyloom.llm.contamination import _hashes, words_of
 
 GRADES = (1, 6)
-#: Bounds of the fit: labelled documents (chosen by a hash of their id) and words of the lexicon (the most frequent).
-MAX_LABELLED, MAX_WORDS = 20_000, 200_000
+#: Bound of the fit: labelled documents, chosen by a hash of their id. Their words are all counted.
+MAX_LABELLED = 20_000
 #: Labelled documents a word must occur in to be known, and prior documents by which its distribution is smoothed.
 LEAST_DOCS, PRIOR = 3, 1.0
 #: A word counts as acquired at the grade by which this share of its use has been met.
@@ -77,22 +77,29 @@ class LevelModel:
         return float(np.clip(self.intercept + found[0] @ self.weights, *GRADES)), found[1]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("length", T.IntegerType())])))
 def _distinct_words(text):  # noqa: ANN001, ANN202
-    return text.map(lambda t: [] if t is None else sorted(set(words_of(t))))
+    """Hash and length of each distinct word."""
+
+    def of(t: str | None) -> list[dict[str, int]]:
+        words = [] if t is None else sorted(set(words_of(t)))
+        return [{"h": h, "length": min(len(w), LONGEST)} for w, h in zip(words, _hashes(words).view(np.int64).tolist())]
+
+    return text.map(of)
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, grade, text): labelled documents with the median of their raters' grades; null and impossible grades are left out."""
     grade = labels.filter(F.col("grade").between(*GRADES)).distinct().groupBy("doc_id").agg(F.percentile("grade", 0.5).alias("grade"))
     chosen = grade.orderBy(F.xxhash64("doc_id")).limit(max_labelled)
-    return documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # At most ``max_labelled`` numbers are broadcast, so the texts stay where they are.
+    return documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LevelModel:
     """Fits lexicon and calibration.
 
-    Word counts per fold and grade are aggregated in Spark; at most MAX_WORDS words come to the driver. The calibration
+    Word counts per fold and grade are aggregated in Spark; of words in at least LEAST_DOCS labelled documents a hash and a few numbers come to the driver. The calibration
     sees each labelled document through a lexicon made without its fold, so it learns how far quantiles can be
     trusted on new texts. With fewer than ten labelled documents the level is the mean grade.
     """
@@ -105,13 +112,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     docs = np.zeros((FOLDS, n))
     for r in graded.groupBy("fold", "g").agg(F.count("*").alias("n")).collect():
         docs[r["fold"], r["g"] - first] = r["n"]
-    exploded = graded.select("fold", "g", F.explode(_distinct_words("text")).alias("word"))
-    common = exploded.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).select("word")
-    rows = exploded.join(common, "word").groupBy("word", "fold", "g").agg(F.count("*").alias("n")).toPandas()
-    names, code = np.unique(rows["word"].to_numpy(dtype=object), return_inverse=True) if len(rows) else (np.array([], dtype=object), np.array([], dtype=np.int64))
-    counts = np.zeros((FOLDS, len(names), n))
-    np.add.at(counts, (rows["fold"].to_numpy(dtype=int), code, rows["g"].to_numpy(dtype=int) - first), rows["n"].to_numpy(dtype=float))
-    words, length = _hashes(list(names)), np.minimum([len(w) for w in names], LONGEST).astype(int)
+    exploded = graded.select("fold", "g", F.explode(_distinct_words("text")).alias("w")).select("fold", "g", "w.*")
+    by_cell = exploded.groupBy("h", "length", "fold", "g").agg(F.count("*").alias("n"))
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("fold") * n + F.col("g") - first).cast("short").alias("at"), F.col("n").cast("int"))))
+    common = by_cell.groupBy("h").agg(F.max("length").alias("length"), F.sum("n").alias("total"), cells.alias("cells")).filter(F.col("total") >= LEAST_DOCS)
+    found = common.select("h", "length", F.transform(F.sequence(F.lit(0), F.lit(FOLDS * n - 1)), lambda i: F.coalesce(F.try_element_at("cells", i.cast("short")), F.lit(0))).alias("c")).toArrow()
+    words, length = found.column("h").to_numpy().view(np.uint64), found.column("length").to_numpy().astype(int)
+    flat = found.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(words) else np.zeros(0)
+    counts = flat.reshape(len(words), FOLDS, n).transpose(1, 0, 2).astype(float)
     whole = Lexicon(words, length, counts.sum(0), docs.sum(0))
     parts = spark.sparkContext.broadcast([Lexicon(words, length, counts.sum(0) - counts[f], docs.sum(0) - docs[f]) for f in range(FOLDS)])
 
@@ -133,7 +141,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
     """``documents`` (doc_id) with ``level`` (1 easiest to 6 hardest, a fraction) and ``known_share``; both null for texts without words.
 
-    One pass without a shuffle; the model is bounded by MAX_WORDS (12 bytes a word).
+    One pass without a shuffle; the model holds 16 bytes for each word that LEAST_DOCS of the at most MAX_LABELLED labelled documents share.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

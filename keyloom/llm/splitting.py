@@ -12,7 +12,7 @@ LIMIT, OVERLAP = 512, 32
 #: Pause before an event, in ms, that ends a burst of typing.
 PAUSE_MS = 2000.0
 #: Boundary strengths in order of preference, each with the least share of the limit a piece must fill to end there.
-PREFERENCE = ((3, 0.75), (2, 0.75), (1, 0.75), (1, 0.5))
+PREFERENCE = ((3, 0.75), (2, 0.75), (1, 0.75), (1, 0.5), (1, 0.0))
 
 PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("strength", T.IntegerType())]))
 
@@ -81,13 +81,8 @@ def greedy_cuts(strengths: list[np.ndarray], limit: int = LIMIT, overlap: int =
     return out
 
 
-def pieces(results: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(result_id, n_events, piece_no, start, stop, strength): pieces of at most ``limit`` events, neighbours sharing ``overlap``.
-
-    Offsets are into the cleaned list. Items within the limit are one piece; empty and null lists give none. Rows without
-    a result_id are left out, repeated ones give one item (of deliveries that differ, the longest, then the largest cut list).
-    Only boundary strengths, a byte an event, reach Python; only cut lists are shuffled.
-    """
+def _cuts(results: DataFrame, limit: int, overlap: int, *more: str) -> DataFrame:
+    """(result_id, c): the cut list of each result_id with its number of events and the columns ``more`` of the same delivery."""
 
     @F.pandas_udf(PIECES)
     def cut(strength: pd.Series) -> pd.Series:
@@ -96,19 +91,22 @@ def pieces(results: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
 
     cleaned = clean_events(results.filter("result_id is not null"))
     strength = F.transform("events", lambda e, i: F.coalesce(_strength(e, F.get("events", i - 1), F.get("events", i - 2)), F.lit(0).cast("byte")))
-    cuts = cleaned.select("result_id", strength.alias("s")).select("result_id", F.size("s").alias("n"), cut("s").alias("cuts"))
-    one = cuts.groupBy("result_id").agg(F.max(F.struct("n", "cuts")).alias("c"))
-    return one.select("result_id", F.col("c.n").alias("n_events"), F.posexplode("c.cuts").alias("piece_no", "p")).select("result_id", "n_events", "piece_no", "p.*")
+    cuts = cleaned.select("result_id", *more, strength.alias("s")).select("result_id", *more, F.size("s").alias("n"), cut("s").alias("cuts"))
+    return cuts.groupBy("result_id").agg(F.max(F.struct("n", "cuts", *more)).alias("c"))
 
 
-def piece_events(results: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``pieces`` with the events of each piece."""
-    lists = clean_events(results.filter("result_id is not null"))
-    lists = lists.withColumn("_r", F.row_number().over(_by_length())).filter("_r = 1").drop("_r")
-    return pieces(results, limit, overlap).join(lists, "result_id").withColumn("events", F.slice("events", F.col("start") + 1, F.col("stop") - F.col("start")))
+def pieces(results: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(result_id, n_events, piece_no, start, stop, strength): pieces of at most ``limit`` events, neighbours sharing ``overlap``.
 
+    Offsets are into the cleaned list. Items within the limit are one piece; empty and null lists give none. Rows without
+    a result_id are left out, repeated ones give one item (of deliveries that differ, the longest, then the largest cut list).
+    Only boundary strengths, a byte an event, reach Python; only cut lists are shuffled.
+    """
+    one = _cuts(results, limit, overlap)
+    return one.select("result_id", F.col("c.n").alias("n_events"), F.posexplode("c.cuts").alias("piece_no", "p")).select("result_id", "n_events", "piece_no", "p.*")
 
-def _by_length():  # noqa: ANN202
-    from pyspark.sql import Window as W
 
-    return W.partitionBy("result_id").orderBy(F.size("events").desc())
+def piece_events(results: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``pieces`` with the events of each piece, from the very delivery that was cut (of equal ones, the largest list of events)."""
+    one = _cuts(results, limit, overlap, "events").select("result_id", F.col("c.n").alias("n_events"), F.col("c.events").alias("_e"), F.posexplode("c.cuts").alias("piece_no", "p"))
+    return one.select("result_id", "n_events", "piece_no", "p.*", F.slice("_e", F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("events"))

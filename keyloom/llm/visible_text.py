@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 # Look-alike letters of other scripts and the Latin letters they pass for.
 LOOK_ALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԛԝӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυβ" + "օսհ",
-        "ABESIJKMHOPCTYXYQWaeopcyxsijhqwl" + "ABEZHIKMNOPTYXaivopuß" + "ouh",
+        "АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԛԝӏԁ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυβϲϳͿ" + "օսհՕՍցոզ" + "ɡɑ" + "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ" + "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ",
+        "ABESIJKMHOPCTYXYQWaeopcyxsijhqwld" + "ABEZHIKMNOPTYXaivopußcjJ" + "ouhOUgnq" + "ga" + "DRTAJEWMHGZVSLCPKB" + "BPDTGKJCZFMNLSRVHWXYAEIOU",
     )
 )
 # Typographic forms of the plain quotes, hyphen and ellipsis.
@@ -23,10 +23,10 @@ IGNORABLE = (
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
-# Compatibility characters that are ligatures, digraphs or dots set as one character.
-JOINED = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2024, 0x2026), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
+# Compatibility characters that are ligatures, digraphs, Roman numerals or dots set as one character.
+JOINED = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2024, 0x2026), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
 #: Decompositions whose difference from the plain character a reader does not see.
-UNSEEN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
+UNSEEN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<font>")
 
 
 def _within(point: int, ranges: tuple[tuple[int, int], ...]) -> bool:
@@ -83,11 +83,9 @@ def text_forms(text: pd.Series) -> pd.DataFrame:
 
 def unescape(column: Column) -> Column:
     """Undoes backslash escapes in one pass: ``\\n``, ``\\t`` and ``\\r`` are controls, any other escaped character stands for itself."""
-    marked = F.replace(column, F.lit("\\\\"), F.lit(""))
-    for short, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        marked = F.replace(marked, F.lit(short), F.lit(char))
-    plain = F.regexp_replace(marked, r"\\(.)", "$1")
-    return F.when(F.instr(column, "\\") > 0, F.replace(plain, F.lit(""), F.lit("\\"))).otherwise(column)
+    # Between escaped backslashes every backslash begins another escape, so the parts can be treated apart and joined by single ones.
+    parts = F.transform(F.split(column, r"\\\\", -1), lambda p: F.regexp_replace(F.replace(F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\\r"), F.lit("\r")), r"(?s)\\(.)", "$1"))
+    return F.when(F.instr(column, "\\") > 0, F.array_join(parts, "\\")).otherwise(column)
 
 
 def composed_texts(real_sessions: DataFrame, composition_log: DataFrame, activities: tuple[str, ...] | None = ("Paste",)) -> DataFrame:
@@ -102,7 +100,10 @@ def composed_texts(real_sessions: DataFrame, composition_log: DataFrame, activit
 
 
 def consistent_texts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``texts`` with ``visible`` and ``folded``. Null texts get nulls, empty texts empty forms; no shuffle."""
+    """``texts`` with ``visible`` and ``folded``. Null texts get nulls, empty texts empty forms; no shuffle.
+
+    Each distinct value of an Arrow batch is worked out once; making it once in the whole table would shuffle every text twice to save less work than that costs.
+    """
     return texts.withColumn("_f", text_forms(F.col(text))).withColumns({"visible": F.col("_f.visible"), "folded": F.col("_f.folded")}).drop("_f")
 
 
@@ -119,4 +120,5 @@ def match_stimuli(texts: DataFrame, stimuli: DataFrame) -> DataFrame:
         left.join(right, "folded")
         .filter(F.col("visible") == F.col("stimulus_visible"))
         .select("field", "record_id", "stimulus_id", (F.col("text") == F.col("stimulus")).alias("exact"))
+        .distinct()
     )
