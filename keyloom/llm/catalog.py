@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import contamination, grouped_split, mojibake, packing, quantile_digest, quantile_sql, reading_level, splitting, visible_text
+from keyloom.llm import contamination, grouped_split, mojibake, packing, quantile_digest, quantile_sql, reading_level, splitting, structure_sql, visible_text
 from keyloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "generation_results")).filter("piece_no = 0 and strength >= 0").select("result_id")
 
 
-@query("p5_pieces")
+@query("p5_pieces", structure_sql.PIECES_SQL)
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of all results."""
     return splitting.pieces(table(spark, d, "generation_results"))
@@ -95,6 +95,14 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.person_splits(table(spark, d, "keystrokes"), table(spark, d, "real_sessions"), table(spark, d, "participants"))
 
 
+@query("p6_sides", ORACLE["p6_found"].replace("SELECT a AS participant_a, b AS participant_b FROM r", "SELECT a AS participant_a, b AS participant_b, TRUE AS same_side FROM r"))
+def p6_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the participants of each linked pair have got the same side."""
+    people = p6_splits(spark, d).filter("kind = 'participant'")
+    a, b = (people.select(F.col("record_id").alias(f"participant_{x}"), F.col("split").alias(f"_{x}")) for x in "ab")
+    return p6_found(spark, d).join(a, "participant_a").join(b, "participant_b").select("participant_a", "participant_b", (F.col("_a") == F.col("_b")).alias("same_side"))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -132,6 +140,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+@query("p8_placed", structure_sql.PLACED_SQL)
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document has been placed, and whether all its containers hold no more than the capacity."""
+    packed = packing.pack_documents(table(spark, d, "documents"))
+    held = packed.filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    fits = F.coalesce(F.max("held") <= packing.CAPACITY, F.lit(True))
+    return packed.join(held, "container", "left").groupBy("doc_id").agg((F.count("container") > 0).alias("placed"), fits.alias("fits"))
+
+
 @query("p8_fill")
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Number of containers by the tokens they hold."""
