@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.functions.ranks import hashed_rank
 from keyloom.operators.replay import CLAUSE, WITHIN, WORD, with_pause_classes
+from keyloom.session import cut_lineage
 
 THINK, OPERATION = "think", "operation"
 
@@ -26,11 +28,14 @@ def harvest_timings(sessions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def complete_pools(harvest: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(pool, nr, n, gap, hold): every pool numbered from 0, empty ones filled from their nearest neighbour.
+    """(pool, nr, n, gap, hold): every pool numbered from 0 in the order of a hash, empty ones filled from their nearest neighbour.
+
+    ``harvest`` is written to the shared folder, as every pool reads it. Pools are numbered in hash buckets, so none is one task.
 
     Word boundaries borrow from within words, clause boundaries from word boundaries, operations from within words, think pauses take
     the three slowest clause gaps. Without any timing within words the result is empty.
     """
+    harvest = cut_lineage(harvest)
     sources = {WITHIN: [WITHIN], WORD: [WORD, WITHIN], CLAUSE: [CLAUSE, WORD, WITHIN], OPERATION: [OPERATION, WITHIN], THINK: [THINK]}
     have = harvest.groupBy("pool").agg(F.count("*").alias("n"))
     there = F.broadcast(have.agg(F.collect_set("pool").alias("there")))
@@ -44,8 +49,9 @@ def complete_pools(harvest: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     clause = chosen.filter(F.col("pool") == CLAUSE).crossJoin(there).filter(~F.array_contains("there", THINK))
     slow = clause.orderBy(F.desc("gap"), *keys, "i").limit(3).select(*keys, "i", F.lit(THINK).alias("pool"), "gap", F.lit(None).cast("double").alias("hold"))
     every = chosen.unionByName(slow)
-    order = W.partitionBy("pool").orderBy(*keys, "i")
-    return every.select("pool", (F.row_number().over(order) - 1).alias("nr"), F.count("*").over(W.partitionBy("pool")).alias("n"), "gap", "hold")
+    numbered = hashed_rank(every, ["pool"], [*keys, "i", "gap"], "nr")
+    sizes = every.groupBy("pool").agg(F.count("*").alias("n"))  # five rows at most
+    return numbered.join(F.broadcast(sizes), "pool").select("pool", "nr", "n", "gap", "hold")
 
 
 def draw(wanted: DataFrame, pools: DataFrame, key: Column, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import bins
 from keyloom.operators import codec, compare, composition, convergence, generated, knobs, labels, revision, selection, signatures, timing_pools, writer_split
-from keyloom.plans.catalog import query
+from keyloom.plans.catalog import ORACLE, query
 from keyloom.plans.session_queries import _COMPARE, rounded
 from keyloom.plans.sql import ESCAPED, GENERATED, bin_of, share
 from keyloom.session import table
@@ -311,6 +311,49 @@ def alternation_errors(spark: SparkSession, d: str) -> DataFrame:
     return convergence.alternation_errors(streams, "stream", "t")
 
 
+# The typed part of each result: keys with one plain character, backspaces and jumps to the start can be applied whatever came before, so long sessions have many windows.
+def _typed(sql: str) -> str:
+    kept = "(x.type = 'key' AND regexp_full_match(x.ch, '[\\n\\t\\x20-\\x7E]')) OR x.type = 'bksp' OR (x.type = 'cursor' AND x.pos = 0)"
+    return sql.replace(" AS z FROM r)", f" AS z FROM (SELECT * REPLACE (list_filter(ev, lambda x: coalesce({kept}, false)) AS ev) FROM r))", 1)
+
+
+def typed_windows(spark: SparkSession, d: str) -> DataFrame:
+    e_kept = lambda e: F.coalesce(((e["type"] == "key") & e["ch"].rlike(r"\A[\n\t\x20-\x7E]\z")) | (e["type"] == "bksp") | ((e["type"] == "cursor") & (e["pos"] == 0)), F.lit(False))
+    rows = results(spark, d).select("result_id", "target", F.filter("events", e_kept).alias("events"))
+    return labels.windows(labels.session_labels(rows), KEY)
+
+
+@query("typed_window_labels", _typed(ORACLE["window_labels"]))
+def typed_window_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All windows of long sessions: what each starts from, and its labels."""
+    return rounded(typed_windows(spark, d).select("result_id", "window_no", F.md5(F.col("start_text").cast("binary")).alias("start_text"), "start_cursor", "prev_press", F.size("events").alias("n"), *labels.RATES))
+
+
+@query("typed_window_schedule", _typed(ORACLE["window_schedule"]))
+def typed_window_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The label tokens of long sessions' windows in order."""
+    rows = typed_windows(spark, d).select("result_id", F.struct("window_no", labels.label_tokens(F.lit("composition")).alias("t")).alias("w"))
+    return rows.groupBy("result_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["t"]), " ").alias("schedule"))
+
+
+@query("typed_examples", _typed(ORACLE["training_examples"]))
+def typed_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Training examples of long sessions, later windows with what is written and the caret."""
+    return labels.training_examples(typed_windows(spark, d), KEY, "composition").drop("rev")
+
+
+@query("typed_progress", _typed(ORACLE["window_progress"]))
+def typed_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How far each window of long sessions gets, and how much that is more than the one before."""
+    return convergence.window_progress(typed_windows(spark, d), KEY).withColumns({"revised": F.col("revised").cast("int"), "stalled": F.col("stalled").cast("int")})
+
+
+@query("typed_alternation", _typed(ORACLE["alternation_errors"]))
+def typed_alternation(spark: SparkSession, d: str) -> DataFrame:
+    streams = typed_windows(spark, d).select(F.concat_ws(":", "result_id", "window_no").alias("stream"), codec.serialize("events", F.col("prev_press")).alias("t"))
+    return convergence.alternation_errors(streams, "stream", "t")
+
+
 # Editing logs.
 @query("composition_sessions")
 def composition_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -336,11 +379,14 @@ def timing_pools_query(spark: SparkSession, d: str) -> DataFrame:
 
 # Texts.
 _PLAIN = """replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '…', '...')"""
-_FROM = "".join(codec.SAME_WIDTH.values()) + codec.VANISHING
-_TO = "".join(k * len(v) for k, v in codec.SAME_WIDTH.items()).replace("'", "''")
+# Fixed values, as code points: typographic single quotes, double quotes, dashes and blanks with what they become, then what vanishes.
+_WIDE = {39: (8216, 8217, 8218, 8219, 8242), 34: (8220, 8221, 8222, 8223, 8243), 45: (8208, 8209, 8210, 8211, 8212, 8213, 8722), 32: (160, 8239, *range(8192, 8203))}
+_GONE = (8203, 8204, 8205, 65279)
+_FROM = " || ".join(f"chr({c})" for c in (*(c for wide in _WIDE.values() for c in wide), *_GONE))
+_TO = " || ".join(f"chr({k})" for k, wide in _WIDE.items() for _ in wide)
 
 
-@query("normalize_typable", f"SELECT doc_id, md5(translate({_PLAIN}, '{_FROM}', '{_TO}')) AS plain FROM documents")
+@query("normalize_typable", f"SELECT doc_id, md5(translate({_PLAIN}, {_FROM}, {_TO})) AS plain FROM documents")
 def normalize_typable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(codec.normalize_typable(F.col("text")).cast("binary")).alias("plain"))
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import classify, codec, compare, controls, gates, timing
 from keyloom.operators.timing import FEATURES, KEYS, QUANTILES, SERIAL
+from keyloom.plans.array_queries import validity
 from keyloom.plans.catalog import query
 from keyloom.plans.session_queries import rounded, typed
-from keyloom.session import cut_lineage, table
+from keyloom.session import cut_lineage, shared_folder, table
 
 COLUMNS = [c for f in FEATURES for c in (*(f"{f}_q{q * 100:g}" for q in QUANTILES), f"{f}_mean", f"{f}_sd", f"{f}_count")] + list(SERIAL)
 
@@ -71,10 +70,22 @@ def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tier1_gates")
 def tier1_gates(spark: SparkSession, d: str) -> DataFrame:
-    """The gates over what can be measured here: shuffled sessions stand in for a model's, so the model gate must fail."""
-    shuffled = discriminator_cv(spark, d).agg(F.avg("accuracy").alias("shuffle_teeth"), F.sum("n").alias("n"))
-    control = real_vs_real(spark, d).agg(F.avg("accuracy").alias("control"))
-    metrics = shuffled.crossJoin(control).select(F.col("shuffle_teeth").alias("teeth"), "shuffle_teeth", F.col("shuffle_teeth").alias("model"), F.lit(1.0).alias("validity"), "control", "n")
+    """The gates over what can be measured here.
+
+    The even-typing heuristic is the crude fake that must be told apart (teeth), shuffled sessions the subtle one (shuffle_teeth); in place of a
+    model's output stand the shuffled sessions that the classifier takes for the most real (model). Validity is that of the generated results.
+    """
+    events = typed(spark, d)
+    both = _real_and_shuffled(spark, d)
+    real = both.filter("label = 1")
+    targets = events.groupBy(*KEYS).agg(F.first("target").alias("target")).filter("target is not null").withColumn("wpm", F.lit(50.0))
+    even = cut_lineage(real.unionByName(_features(controls.heuristic_baseline(targets), 0), allowMissingColumns=True))
+    fooled = classify.best_candidates(both.filter("label = 0"), COLUMNS, classify.fit_discriminator(both, COLUMNS), "writer")
+    best = cut_lineage(real.join(fooled.select(*KEYS), list(KEYS), "left_semi").unionByName(fooled.select(*real.columns)))
+    mean = lambda rows, name: classify.discriminator_cv(rows, COLUMNS, ["writer"]).agg(F.avg("accuracy").alias(name), F.sum("n").alias(f"_{name}"))
+    metrics = mean(even, "teeth").crossJoin(mean(both, "shuffle_teeth")).crossJoin(mean(best, "model"))
+    metrics = metrics.crossJoin(validity(spark, d).agg(F.avg(F.col("valid").cast("double")).alias("validity"))).crossJoin(real_vs_real(spark, d).agg(F.avg("accuracy").alias("control")))
+    metrics = metrics.select("teeth", "shuffle_teeth", "model", "validity", "control", F.col("_shuffle_teeth").alias("n"))
     return rounded(gates.apply_gates(metrics, gates.TIER1, "n", gates.LEAST_PAIRS))
 
 
@@ -94,10 +105,9 @@ def shuffle_diagnostic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("compare_shuffled")
 def compare_shuffled(spark: SparkSession, d: str) -> DataFrame:
-    """Distances between sessions and the heuristic of even typing, per timing feature."""
+    """Distances between sessions and the same sessions with shuffled timing, per timing feature."""
     events = typed(spark, d)
-    targets = events.groupBy(*KEYS).agg(F.first("target").alias("target")).filter("target is not null").withColumn("wpm", F.lit(50.0))
-    return rounded(compare.compare_pools(compare.sides(timing.feature_pool(events), timing.feature_pool(controls.heuristic_baseline(targets)))))
+    return rounded(compare.compare_pools(compare.sides(timing.feature_pool(events), timing.feature_pool(controls.shuffle_timing(events)))))
 
 
 @query("streaming_sessions")
@@ -106,7 +116,7 @@ def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
     from keyloom.streaming.activity import streaming_sessions as sessions
 
     source = spark.readStream.schema(table(spark, d, "key_events").schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyloom-stream-")
+    base = shared_folder(spark)
     from uuid import uuid4
 
     place = f"{base.rstrip('/')}/stream-{uuid4().hex}"

@@ -472,6 +472,14 @@ def layout_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.layout_reconstruction(geometry.digraph_matrix(typed(spark, d))))
 
 
+@query("synthetic_layout", "SELECT unnest(['blind', 'finger_aware']) AS mode, 27::BIGINT AS keys, TRUE AS same_finger_found, TRUE AS distances_kept")
+def synthetic_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The layout rebuilt from latencies made from a known one: same-finger cells are told apart and distances keep their order."""
+    made = geometry.synthetic_latencies()
+    rows = [(mode, len(f["fitted"]), bool(f["same_finger_auc"] >= 0.9), bool(f["distance_spearman"] >= 0.75)) for mode in ("blind", "finger_aware") for f in [geometry.reconstruct(made, mode)]]
+    return spark.createDataFrame(rows, "mode string, keys long, same_finger_found boolean, distances_kept boolean")
+
+
 @query("export_examples")
 def export_examples(spark: SparkSession, d: str) -> DataFrame:
     """Training examples of all sound sessions on physical keyboards, with sides. Without SQL: the gate's edit distance counts bytes there."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from keyloom.functions.bins import CENTERS, EDGES
+#: The logarithmic time grid, worked out by the comparison engine itself: 128 bins between 1 and 120,000 ms, and their geometric centres.
+_EDGES = "list_transform(range(129), lambda k: pow(120000.0::DOUBLE, k / 128.0::DOUBLE))"
+_CENTERS = "list_transform(range(128), lambda k: pow(120000.0::DOUBLE, (k + 0.5) / 128.0::DOUBLE))"
 
 #: Events of the transcription log, sessions with unlogged letters left out.
 EVENTS = """
@@ -30,11 +32,11 @@ GENERATED = """
 
 def bin_of(x: str) -> str:
     """Time bin of an expression, by comparing with every limit."""
-    return f"CASE WHEN {x} IS NOT NULL THEN least(127, greatest(0, len(list_filter({EDGES}::DOUBLE[], lambda q: q <= greatest(1.0, least(120000.0, {x})))) - 1))::INTEGER END"
+    return f"CASE WHEN {x} IS NOT NULL THEN least(127, greatest(0, len(list_filter({_EDGES}, lambda q: q <= greatest(1.0, least(120000.0, {x})))) - 1))::INTEGER END"
 
 
 def center_of(k: str) -> str:
-    return f"({CENTERS}::DOUBLE[])[{k} + 1]"
+    return f"({_CENTERS})[{k} + 1]"
 
 
 def share(seed: int, key: str) -> str:

@@ -24,8 +24,14 @@ def write_examples(examples: DataFrame, split: DataFrame, folder: str, order: li
         rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("prompt", "completion").write.mode("overwrite").json(f"{folder}/{side}.jsonl")
 
 
+#: Writers a split file may name; its lists are one object, so they must fit one task.
+MAX_WRITERS = 1_000_000
+
+
 def write_split(split: DataFrame, path: str, seed: int, test_share: float) -> None:
-    """The split as JSON with sorted lists; one object, as its readers expect it."""
+    """The split as JSON with sorted lists; one object, as its readers expect it. More than MAX_WRITERS are an error: keep such a split as a table."""
+    if split.count() > MAX_WRITERS:
+        raise ValueError(f"a split file holds at most {MAX_WRITERS} writers")
     side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("writer")))).alias(f"{s}_writers")
     one = split.agg(side("train"), side("test")).select(F.lit(seed).alias("seed"), F.lit(test_share).alias("test_frac"), "train_writers", "test_writers")
     one.coalesce(1).write.mode("overwrite").json(path)

@@ -96,6 +96,35 @@ def test_revision_sessions(spark):
         assert x.b[: x.start] + x.inserted + x.b[x.stop :] == x.a and x.start <= x.stop
 
 
+def test_revision_edits_and_repairs():
+    r = random.Random(7)
+    for _ in range(200):
+        text = "".join(r.choice("ab c…\u200b\r\n“") for _ in range(r.randrange(20)))
+        offsets = revision.typable_offsets(text)
+        assert len(offsets) == len(text) + 1 and offsets[-1] == len(revision.typable(text))
+        for i in range(len(text) + 1):
+            if text[i - 1 : i + 1] != "\r\n":
+                assert offsets[i] == len(revision.typable(text[:i]))
+    play = lambda text, edits: [text := text[: s[1]] + text[s[2] :] if s[0] == "seldel" else text[: edits_[0][1]] + s[1] + text[edits_[0][1] :] for edits_ in edits for s in edits_ if s[0] != "cursor"][-1] if edits else text
+    acts = [{"before": "b", "after": "xyz", "start_char_pos": 1, "end_char_pos": 2}, {"before": "", "after": "!", "start_char_pos": 4, "end_char_pos": 4}, {"before": "d", "after": "", "start_char_pos": 3, "end_char_pos": 4}]
+    assert play("abcd", revision.pass_edits("abcd", acts)) == "axyzc!" and revision.pass_edits("abcd", []) == []
+    for bad in ([{"before": "x", "after": "", "start_char_pos": 0, "end_char_pos": 1}], [{"before": "", "after": "", "start_char_pos": 9, "end_char_pos": 9}], [{"before": "ab", "after": "x", "start_char_pos": 0, "end_char_pos": 2}, {"before": "bc", "after": "y", "start_char_pos": 1, "end_char_pos": 3}]):
+        with pytest.raises(revision.Unsound):
+            revision.pass_edits("abcd", bad)
+    for _ in range(300):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(14)))
+        b = "".join(r.choice("abc") for _ in range(r.randrange(14)))
+        made = revision.reconcile(a, b, 5)
+        rows = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            rows, last = [i], rows
+            for j, y in enumerate(b, 1):
+                rows.append(min(last[j] + 1, rows[-1] + 1, last[j - 1] + (x != y)))
+        assert (made is not None) == (rows[-1] <= 5)
+        if made is not None:
+            assert play(a, made) == b and [e[0][1] for e in made] == sorted((e[0][1] for e in made), reverse=True)
+
+
 def test_sessions_draw_from_whole_pools(spark):
     gap = F.when(F.col("nr") < 5_000, 100.0).otherwise(900.4)
     names = F.explode(F.array(*(F.lit(p) for p in (WITHIN, WORD, CLAUSE, "think", "operation")))).alias("pool")
