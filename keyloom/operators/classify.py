@@ -11,6 +11,8 @@ from keyloom.operators.writer_split import hash_share
 
 FOLDS = 5
 TREES, DEPTH, RATE = 100, 3, 0.1
+#: Rows a partition of the training data should hold: every tree is a few jobs over all partitions, so small data pays for each of them.
+PARTITION_ROWS = 20_000
 
 
 def with_folds(rows: DataFrame, group: list[str], folds: int = FOLDS, seed: int = 0) -> DataFrame:
@@ -24,6 +26,11 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(clean)
 
 
+def _gathered(data: DataFrame) -> DataFrame:
+    """Persisted ``data`` in as few partitions as its size asks for."""
+    return data.coalesce(max(1, -(-data.count() // PARTITION_ROWS)))
+
+
 def _trees(trees: int, seed: int) -> GBTClassifier:
     return GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=seed)
 
@@ -31,9 +38,10 @@ def _trees(trees: int, seed: int) -> GBTClassifier:
 def discriminator_cv(rows: DataFrame, features: list[str], group: list[str], folds: int = FOLDS, trees: int = TREES, seed: int = 0) -> DataFrame:
     """(fold, n, accuracy) of boosted trees that tell label 1 from 0, trained on the other folds. Folds in which a side is missing are skipped."""
     data = assembled(with_folds(rows, group, folds, seed), features).select("fold", "label", "_x").persist()
+    rows_of = _gathered(data)
     parts = []
     for k in range(folds):
-        train, test = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
+        train, test = rows_of.filter(F.col("fold") != k), rows_of.filter(F.col("fold") == k)
         if train.select("label").distinct().count() < 2 or not test.head(1):
             continue
         scored = _trees(trees, seed).fit(train).transform(test)
@@ -44,7 +52,10 @@ def discriminator_cv(rows: DataFrame, features: list[str], group: list[str], fol
 
 def fit_discriminator(rows: DataFrame, features: list[str], trees: int = TREES, seed: int = 0) -> GBTClassificationModel:
     """The same trees on all rows."""
-    return _trees(trees, seed).fit(assembled(rows, features))
+    data = assembled(rows, features).select("label", "_x").persist()
+    model = _trees(trees, seed).fit(_gathered(data))
+    data.unpersist()
+    return model
 
 
 def importances(model: GBTClassificationModel, features: list[str], top: int = 12) -> list[tuple[str, float]]:
@@ -69,6 +80,7 @@ def writer_identification(rows: DataFrame, features: list[str], writer: str = "w
     kept = rows.drop("label").join(many, writer, "left_semi")
     indexed = StringIndexer(inputCol="_w", outputCol="label").fit(k := kept.withColumn("_w", F.col(writer).cast("string"))).transform(k)
     data = assembled(with_folds(indexed, [c for c in ("writer", "session_id") if c in rows.columns] or [writer], folds, seed), features).select("fold", "label", "_x").persist()
+    rows_of = _gathered(data)
     parts = []
     for i in range(folds):
         train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)

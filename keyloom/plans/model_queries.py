@@ -68,21 +68,25 @@ def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
     return rounded(classify.discriminator_cv(rows, COLUMNS, ["writer"]))
 
 
+def _gate_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is told apart: sessions from even typing of their targets, from their shuffled timing, and from those shuffled ones that look most real."""
+    events, both = typed(spark, d), _real_and_shuffled(spark, d)
+    real = both.filter("label = 1")
+    targets = events.groupBy(*KEYS).agg(F.first("target").alias("target")).filter("target is not null").withColumn("wpm", F.lit(50.0))
+    even = cut_lineage(real.unionByName(_features(controls.heuristic_baseline(targets), 0), allowMissingColumns=True))
+    best = classify.best_candidates(both.filter("label = 0"), COLUMNS, classify.fit_discriminator(both, COLUMNS), "writer").select(*real.columns)
+    return even, both, cut_lineage(real.join(best.select(*KEYS), list(KEYS), "left_semi").unionByName(best))
+
+
 @query("tier1_gates")
 def tier1_gates(spark: SparkSession, d: str) -> DataFrame:
     """The gates over what can be measured here.
 
     The even-typing heuristic is the crude fake that must be told apart (teeth), shuffled sessions the subtle one (shuffle_teeth); in place of a
-    model's output stand the shuffled sessions that the classifier takes for the most real (model). Validity is that of the generated results.
+    model's output stand each writer's shuffled session that the classifier takes for the most real (model). Validity is that of the generated results.
     """
-    events = typed(spark, d)
-    both = _real_and_shuffled(spark, d)
-    real = both.filter("label = 1")
-    targets = events.groupBy(*KEYS).agg(F.first("target").alias("target")).filter("target is not null").withColumn("wpm", F.lit(50.0))
-    even = cut_lineage(real.unionByName(_features(controls.heuristic_baseline(targets), 0), allowMissingColumns=True))
-    fooled = classify.best_candidates(both.filter("label = 0"), COLUMNS, classify.fit_discriminator(both, COLUMNS), "writer")
-    best = cut_lineage(real.join(fooled.select(*KEYS), list(KEYS), "left_semi").unionByName(fooled.select(*real.columns)))
     mean = lambda rows, name: classify.discriminator_cv(rows, COLUMNS, ["writer"]).agg(F.avg("accuracy").alias(name), F.sum("n").alias(f"_{name}"))
+    even, both, best = _gate_sides(spark, d)
     metrics = mean(even, "teeth").crossJoin(mean(both, "shuffle_teeth")).crossJoin(mean(best, "model"))
     metrics = metrics.crossJoin(validity(spark, d).agg(F.avg(F.col("valid").cast("double")).alias("validity"))).crossJoin(real_vs_real(spark, d).agg(F.avg("accuracy").alias("control")))
     metrics = metrics.select("teeth", "shuffle_teeth", "model", "validity", "control", F.col("_shuffle_teeth").alias("n"))

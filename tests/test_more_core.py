@@ -289,6 +289,8 @@ def test_queries_train_the_full_classifiers(spark, monkeypatch):
         monkeypatch.setattr(classify, name, stand_in)
     for name in ("typed", "cut_lineage", "_real_and_shuffled"):
         monkeypatch.setattr(model_queries, name, lambda *args: one)
+    monkeypatch.setattr(model_queries, "_gate_sides", lambda *args: (one, one, one))
+    monkeypatch.setattr(model_queries, "validity", lambda *args: one.select(F.lit(1).alias("valid")))
     monkeypatch.setattr(model_queries, "_features", lambda *args: one.withColumn("label", F.lit(1)))
     monkeypatch.setattr(model_queries.timing, "feature_vector", lambda *args: one)
     monkeypatch.setattr(model_queries.codec, "roundtrip", lambda *args: one)
