@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All core queries and their SQL."""
-    from keyloom.plans import array_queries, data_queries, model_queries, session_queries  # noqa: F401
+    from keyloom.plans import array_queries, data_queries, model_queries, session_queries, source_queries  # noqa: F401
 
     return QUERIES, ORACLE
