@@ -434,6 +434,19 @@ def sentence_sessions(spark: SparkSession, d: str) -> DataFrame:
     return revision.sentence_sessions(pairs, pools).select("doc_id", F.length("target").alias("chars"), F.size("events").alias("n_events"), "reason")
 
 
+_AFTER = _PLAIN.replace("text", "after")
+
+
+@query("revision_documents", f"{_DRAFTS} SELECT doc_id::VARCHAR AS doc_id, md5(translate({_AFTER}, {_FROM}, {_TO})) AS target, NULL::VARCHAR AS reason FROM p")
+def revision_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each draft as a revision document: typed, then revised by the action that makes it the next one. Every one must come out letter by letter."""
+    pools = timing_pools.complete_pools(timing_pools.harvest_timings(results(spark, d), KEY), KEY)
+    spans = revision.edit_spans(_drafts(spark, d), "before", "after")
+    action = F.struct(F.substr("before", F.col("start") + 1, F.col("stop") - F.col("start")).alias("before"), F.col("inserted").alias("after"), F.col("start").alias("start_char_pos"), F.col("stop").alias("end_char_pos"))
+    passes = spans.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("revision_depth"), F.col("before").alias("before_revision"), F.col("after").alias("after_revision"), F.array(action).alias("edit_actions"))
+    return revision.revision_sessions(passes, pools).select("doc_id", F.md5(F.col("target").cast("binary")).alias("target"), "reason")
+
+
 @query("mode_filter", "SELECT DISTINCT result_id FROM generation_results WHERE starts_with(prompt, '<MODE:T>')")
 def mode_filter(spark: SparkSession, d: str) -> DataFrame:
     return selection.by_mode(table(spark, d, "generation_results"), "transcription").select("result_id").distinct()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions import bins
-from keyloom.operators import codec, compare, controls, export, geometry, heldout, readout, selection, signatures, timing, transcription, writer_split
+from keyloom.operators import annotated, codec, compare, controls, export, geometry, heldout, readout, selection, signatures, timing, transcription, writer_split
 from keyloom.operators.timing import KEYS
 from keyloom.plans.catalog import query
 from keyloom.plans.sql import ESCAPED, EVENTS, bin_of, center_of, share
@@ -313,6 +314,35 @@ def heuristic_baseline(spark: SparkSession, d: str) -> DataFrame:
     return controls.heuristic_baseline(targets, ("session_id",)).select("session_id", F.col("seq").cast("long").alias("seq"), "ch", "press", "release")
 
 
+_SYMBOLS = {"SHIFT": "Shift_L", "CTRL": "Control_L", "ALT": "Alt_L", "CAPS_LOCK": "Caps_Lock", "BKSP": "BackSpace", " ": "space"}
+
+
+@query(
+    "annotated_events",
+    f"""WITH a AS (SELECT DISTINCT participant_id AS writer, test_section_id AS session_id, keystroke_id, press_time AS t, letter,
+        CASE letter {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SYMBOLS.items())} ELSE letter END AS sym FROM keystrokes
+        WHERE participant_id IS NOT NULL AND test_section_id IS NOT NULL AND press_time IS NOT NULL AND (length(letter) = 1 OR letter IN ('SHIFT', 'CTRL', 'ALT', 'CAPS_LOCK', 'BKSP'))),
+    n AS (SELECT *, row_number() OVER (PARTITION BY writer, session_id ORDER BY t, keystroke_id, letter) AS i, sym = 'Shift_L' AS sh, sym IN ('Shift_L', 'Control_L', 'Alt_L', 'Caps_Lock') AS md FROM a),
+    m AS (SELECT *, coalesce(max(CASE WHEN sh THEN i END) OVER b > coalesce(max(CASE WHEN NOT md THEN i END) OVER b, 0), false) AS armed FROM n
+          WINDOW b AS (PARTITION BY writer, session_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT *, CASE WHEN sym = 'BackSpace' THEN NULL WHEN armed THEN upper(letter) ELSE letter END AS ch FROM m WHERE NOT md)
+    SELECT writer, session_id, row_number() OVER (PARTITION BY writer, session_id ORDER BY i)::INTEGER AS seq, CASE WHEN ch IS NULL THEN 'bksp' ELSE 'key' END AS type,
+        (t - min(t) OVER (PARTITION BY writer, session_id))::DOUBLE AS press, ch FROM k""",
+)
+def annotated_events(spark: SparkSession, d: str) -> DataFrame:
+    """The transcription log in the annotated form, with shifts as rows of their own that arm capitals."""
+    letter = F.col("letter")
+    symbol = letter
+    for name, to in _SYMBOLS.items():
+        symbol = F.when(letter == name, to).otherwise(symbol)
+    rows = table(spark, d, "keystrokes").filter((F.length(letter) == 1) | letter.isin(*(k for k in _SYMBOLS if k != " "))).filter("participant_id is not null and test_section_id is not null")
+    one = rows.select(F.col("participant_id").alias("writer"), F.col("test_section_id").alias("session_id"), "keystroke_id", "press_time", "letter").distinct()
+    order = W.partitionBy("writer", "session_id").orderBy("press_time", "keystroke_id", "letter")
+    null = F.lit(None).cast("string")
+    log = one.select("writer", "session_id", F.row_number().over(order).alias("row_no"), (F.col("press_time") / 1000.0).alias("input_time"), symbol.alias("key_symbol"), letter.alias("input"), null.alias("finger"), null.alias("target"), null.alias("submitted"))
+    return annotated.parse_annotated(log).select("writer", "session_id", "seq", "type", "press", "ch")
+
+
 # Splits, samples, provenance.
 @query("writer_split", f"SELECT DISTINCT participant_id AS writer, CASE WHEN {share(0, 'participant_id')} < 0.1 THEN 'test' ELSE 'train' END AS side FROM keystrokes WHERE participant_id IS NOT NULL")
 def writer_split_query(spark: SparkSession, d: str) -> DataFrame:
