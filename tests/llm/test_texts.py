@@ -14,7 +14,7 @@ SENTENCES = ["Der Bäcker schloß die große Tür über der Straße.", "L’él
 def test_unseen_differences():
     same = [
         ("é", "é"), ("ﬁt", "fit"), ("ａＢ１", "aB1"), ("a b", "a b"), ("a　b", "a b"), ("so­ft", "soft"), ("a​⁠﻿b", "ab"), ("“a”", '"a"'), ("it’s", "it's"), ("a‑b", "a-b"), ("a−b", "a-b"),
-        ("…", "..."), ("соре", "cope"), ("ё", "ë"), ("ΟΚ", "OK"), ("K", "K"), ("，", ","), ("ĳ", "ij"), ("＂", '"'), ("a\tb", "a b"),
+        ("𝐡ello", "hello"), ("ɡood", "good"), ("ⅰn", "in"), ("ꓮꓐ", "AB"), ("ᎪᎬ", "AE"), ("…", "..."), ("соре", "cope"), ("ё", "ë"), ("ΟΚ", "OK"), ("K", "K"), ("，", ","), ("ĳ", "ij"), ("＂", '"'), ("a\tb", "a b"),
     ]
     for a, b in same:
         assert visible_form(a) == visible_form(b), (a, b)
@@ -34,14 +34,14 @@ def test_forms_are_stable(text):
 
 
 def test_unescape(spark):
-    cases = {"a\\nb": "a\nb", '\\"x\\"': '"x"', "\\\\n": "\\n", "\\\\": "\\", "plain": "plain", "": "", "a\\'b": "a'b", None: None, "\\\\\\n": "\\\n"}
+    cases = {"a\\nb": "a\nb", '\\"x\\"': '"x"', "\\\\n": "\\n", "\\\\": "\\", "plain": "plain", "": "", "a\\'b": "a'b", None: None, "\\\\\\n": "\\\n", "\ue000\\n": "\ue000\n", "x\\": "x\\", "\\\\\\\\n": "\\\\n"}
     got = spark.createDataFrame([(c,) for c in cases], "t string").select("t", visible_text.unescape(F.col("t")).alias("u")).collect()
     assert {r.t: r.u for r in got} == cases
 
 
 def test_match_stimuli(spark):
     sessions = spark.createDataFrame(
-        [(1, "Café — now", "x"), (2, "Café — now", "x"), (3, "CAFÉ — NOW", "x"), (4, None, "x"), (5, "", "x"), (1, "Café — now", "late"), (6, "Cafe — now", "x"), (None, "Ｃafé — now", "x"), (7, "x" * 100_000, "x")],
+        [(1, "Café — now", "x"), (2, "Café — now", "x"), (3, "CAFÉ — NOW", "x"), (4, None, "x"), (5, "", "x"), (1, "Café — now", "late"), (6, "Cafe — now", "x"), (1, "Caf\u200bé — now", "late"), (None, "Ｃafé — now", "x"), (7, "x" * 100_000, "x")],
         "session_id long, target_text string, text string",
     )
     log = spark.createDataFrame([(1, "Paste", 'say \\"hi\\"'), (2, "Input", "Ｃafé — now"), (3, "Paste", "say “hi”"), (4, "Paste", None)], "log_id long, activity string, text_change string")
@@ -109,6 +109,15 @@ def test_one_byte_encodings_and_blanks(spark):
     assert [t for t in sound if got[t].garbled] == []
 
 
+def test_short_texts_in_the_wrong_one_byte_encoding(spark):
+    phrase = "Привет как дела"
+    whole = [*_corpus(600), *[phrase, "хорошо"] * 200]
+    bad = {t.encode("cp1251").decode("cp1252"): t for t in (phrase, "Привет", "как дел", "хорошо")}
+    sound = ["é", "Ñu", "ça", "Größe", "£9", "дом"]
+    got = {r.text: r for r in mojibake.restored_texts(spark.createDataFrame([("f", i, t) for i, t in enumerate([*whole, *bad, *sound])], "field string, record_id long, text string")).collect()}
+    assert {t: got[t].restored for t in bad} == bad and not any(got[t].garbled for t in sound)
+
+
 def test_runs_are_maximum_scoring_segments():
     import numpy as np
 
