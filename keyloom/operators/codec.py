@@ -17,6 +17,7 @@ SAME_WIDTH = {
     "'": "‘’‚‛′", '"': "“”„‟″", "-": "‐‑‒–—―−", " ": "  " + "".join(map(chr, range(0x2000, 0x200B))),
 }
 VANISHING = "​‌‍﻿"
+# Fixed value: the grammar of a token.
 TOKEN = r"<DT:\d+>|<CUR:\d+>|<SELDEL:\d+-\d+>|<BKSP:\d+>|<(?:SPC|NL|TAB|LT|GT|[^<>]):\d+>"
 
 
