@@ -85,8 +85,9 @@ def merge_gathered(gathered: DataFrame, column: str, size: int = SIZE) -> DataFr
     """
     kept = [c for c in gathered.columns if c != column]
     # One column after another, so that what is used often is worked out once.
-    sums = gathered.select(*kept, F.sort_array(F.flatten(F.col(column))).alias("_every"))
-    sums = sums.select(*kept, "_every", F.aggregate("_every", F.lit(0).cast("bigint"), lambda t, c: t + c["w"]).alias("_n"))
+    alone = F.size(column) == 1  # a digest alone is sorted and numbered as it is
+    sums = gathered.select(*kept, alone.alias("_alone"), F.when(alone, F.get(column, F.lit(0))).otherwise(F.sort_array(F.flatten(F.col(column)))).alias("_every"))
+    sums = sums.select(*kept, "_alone", "_every", F.aggregate("_every", F.lit(0).cast("bigint"), lambda t, c: t + c["w"]).alias("_n"))
     nothing = F.struct(F.array().cast(f"array<{CENTROID}>").alias("out"), F.lit(None).cast(CENTROID).alias("cur"), F.lit(-1).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("upto"))
     k_of = lambda upto, w: F.floor(size * (F.asin(2.0 * (upto + w / 2.0) / F.col("_n") - 1.0) / math.pi + 0.5))
 
@@ -108,7 +109,7 @@ def merge_gathered(gathered: DataFrame, column: str, size: int = SIZE) -> DataFr
 
     single = F.transform("_every", lambda c, i: _centroid(c["mean"], c["w"], c["lo"], c["hi"], i))
     finish = lambda a: F.transform(F.concat(a["out"], F.array(a["cur"])), lambda c: _centroid(c["mean"] / c["w"], c["w"], c["lo"], c["hi"], c["before"]))
-    return sums.select(*kept, F.when(F.col("_n") <= size, single).otherwise(F.aggregate("_every", nothing, add, finish)).alias("digest"))
+    return sums.select(*kept, F.when(F.col("_alone") & (F.col("_n") <= size), F.col("_every")).when(F.col("_n") <= size, single).otherwise(F.aggregate("_every", nothing, add, finish)).alias("digest"))
 
 
 def digest_text(digest: Column) -> Column:
