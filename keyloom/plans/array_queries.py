@@ -430,8 +430,9 @@ def edit_spans(spark: SparkSession, d: str) -> DataFrame:
 def sentence_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Each draft typed with drawn timings, then edited into the next."""
     pools = timing_pools.complete_pools(timing_pools.harvest_timings(results(spark, d), KEY), KEY)
-    pairs = _drafts(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("nr"), F.col("before").alias("before_sent"), F.col("after").alias("after_sent"))
-    return revision.sentence_sessions(pairs, pools).select("doc_id", F.length("target").alias("chars"), F.size("events").alias("n_events"), "reason")
+    # By document, as one writer's drafts would else be typed in one task.
+    pairs = _drafts(spark, d).repartition("doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("nr"), F.col("before").alias("before_sent"), F.col("after").alias("after_sent"))
+    return revision.sentence_sessions(pairs, pools, events=False).select("doc_id", F.length("target").alias("chars"), "n_events", "reason")
 
 
 _AFTER = _PLAIN.replace("text", "after")
@@ -444,7 +445,7 @@ def revision_documents(spark: SparkSession, d: str) -> DataFrame:
     spans = revision.edit_spans(_drafts(spark, d), "before", "after")
     action = F.struct(F.substr("before", F.col("start") + 1, F.col("stop") - F.col("start")).alias("before"), F.col("inserted").alias("after"), F.col("start").alias("start_char_pos"), F.col("stop").alias("end_char_pos"))
     passes = spans.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("revision_depth"), F.col("before").alias("before_revision"), F.col("after").alias("after_revision"), F.array(action).alias("edit_actions"))
-    return revision.revision_sessions(passes, pools).select("doc_id", F.md5(F.col("target").cast("binary")).alias("target"), "reason")
+    return revision.revision_sessions(passes, pools, events=False).select("doc_id", F.md5(F.col("target").cast("binary")).alias("target"), "reason")
 
 
 @query("mode_filter", "SELECT DISTINCT result_id FROM generation_results WHERE starts_with(prompt, '<MODE:T>')")

@@ -298,3 +298,38 @@ def test_queries_train_the_full_classifiers(spark, monkeypatch):
     for name in ("discriminator_cv", "feature_importances", "best_candidates", "codec_ceiling", "real_vs_real", "tier1_gates", "writer_identification"):
         getattr(model_queries, name)(spark, "")
     assert trees == {"discriminator_cv": {100}, "fit_discriminator": {100}, "writer_identification": {50}}
+
+
+def test_sessions_leave_the_worker_in_small_batches():
+    pools = revision.Pools(np.array([WITHIN, WORD, CLAUSE, "think", "operation"], dtype=object), np.full(5, 9.0), np.array([5.0, 5.0, 5.0, np.nan, np.nan]), np.ones(5, dtype=np.int64))
+
+    def played():
+        for i in range(50):
+            typist = revision.Typist()
+            typist.type("é. x" * 5_000)
+            typist.run(revision.edit(0, 2, "ab"))
+            yield str(i), 0, "t", typist, "bad" if i == 7 else None
+
+    sizes = {c: [b.num_rows for b in revision._batches(played(), pools, 0, events=c)] for c in (True, False)}
+    assert sum(sizes[True]) == 50 and max(sizes[True]) < 12 and sizes[True] == sizes[False]
+    rows = next(revision._batches(played(), pools, 0)).to_pylist()
+    assert [len(r["events"]) for r in rows[:8]] == [20_004] * 7 + [0]
+    start, end = rows[0]["events"][:5], rows[0]["events"][-4:]
+    assert [(e["type"], e["press"], e["release"], e["ch"]) for e in start] == [("key", 9.0 * i, 9.0 * i + 5, c) for i, c in enumerate("é. xé")]
+    assert [(e["type"], e["ch"], e["pos"], e["sel_start"], e["sel_end"]) for e in end] == [("cursor", None, 0, None, None), ("seldel", None, None, 0, 2), ("key", "a", None, None, None), ("key", "b", None, None, None)]
+    assert [e["release"] is None for e in end] == [True, True, False, False] and end[-1]["press"] == 9.0 * 20_003
+
+
+def test_timings_are_drawn_as_often_as_they_occur():
+    times = np.array([1, 7, 2, 90, 4, 4])
+    total, own, other = revision.aliases(times)
+    shares = np.zeros(6, dtype=np.int64)
+    for k in range(6):
+        shares[k] += int(own[k])
+        shares[int(other[k])] += int(total) - int(own[k])
+    assert shares.tolist() == (times * 6).tolist()
+    one = revision.Typist()
+    one.type("a, b c")
+    classes = {"gap": np.array([1.0, 2.0, 3.0]), "hold": np.ones(3), "times": np.ones(3, dtype=np.int64)}
+    events = revision.timed([one], [5], revision.Pools(np.array([WITHIN, WORD, CLAUSE], dtype=object), *classes.values())).to_pylist()[0]
+    assert [b["press"] - a["press"] for a, b in zip(events, events[1:])] == [1.0, 1.0, 3.0, 1.0, 2.0]
