@@ -333,3 +333,16 @@ def test_timings_are_drawn_as_often_as_they_occur():
     classes = {"gap": np.array([1.0, 2.0, 3.0]), "hold": np.ones(3), "times": np.ones(3, dtype=np.int64)}
     events = revision.timed([one], [5], revision.Pools(np.array([WITHIN, WORD, CLAUSE], dtype=object), *classes.values())).to_pylist()[0]
     assert [b["press"] - a["press"] for a, b in zip(events, events[1:])] == [1.0, 1.0, 3.0, 1.0, 2.0]
+
+
+def test_revision_sessions_stream_through_one_exchange(spark):
+    pools = spark.createDataFrame([(p, 0, 1, 10.0, 5.0) for p in (WITHIN, WORD, CLAUSE, "think", "operation")], "pool string, nr long, n long, gap double, hold double")
+    rows = [(f"d{i % 7}", 1 + i // 7 + (i // 21), "a" * (i // 7), "a" * (i // 7 + 1), [("", "a", 0, 0)]) for i in range(42)]
+    made = revision.revision_sessions(spark.createDataFrame(rows, revision.DOCUMENT).repartition(5), pools)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.chain): (r.target, len(r.events), r.reason) for r in made.collect()}
+    assert got == {(f"d{i}", c): ("a" * (3 * c + 3), 3 * c + 6, None) for i in range(7) for c in (0, 1)}
+    long = "é" * 20_000
+    texts = [(long + "x" + long, long + long), ("ab", None), ("", ""), ("aXa", "aXaXa")]
+    spans = {(x.b, x.a): (x.start, x.stop, x.inserted) for x in revision.edit_spans(spark.createDataFrame(texts, "b string, a string"), "b", "a").collect()}
+    assert list(spans.values()) == [(20_000, 20_001, ""), (None, None, None), (0, 0, ""), (3, 3, "Xa")]
