@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.forest import forest_cv
 from keyloom.operators.writer_split import hash_share
 
 FOLDS = 5
@@ -75,18 +76,14 @@ def best_candidates(candidates: DataFrame, features: list[str], model: GBTClassi
 
 
 def writer_identification(rows: DataFrame, features: list[str], writer: str = "writer", least: int = 3, folds: int = 3, trees: int = 50, seed: int = 0) -> DataFrame:
-    """(fold, n, accuracy) of naming the writer among those with at least ``least`` sessions."""
+    """(fold, n, accuracy) of naming the writer among those with at least ``least`` sessions. Folds without rows inside or outside are skipped.
+
+    The forest is that of MLlib's defaults (bins, depth, square root of the features, bootstrap, shares added over trees), with counts of only the classes that a node has.
+    """
     many = rows.groupBy(writer).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(writer)
     kept = rows.drop("label").join(many, writer, "left_semi")
-    indexed = StringIndexer(inputCol="_w", outputCol="label").fit(k := kept.withColumn("_w", F.col(writer).cast("string"))).transform(k)
-    data = assembled(with_folds(indexed, [c for c in ("writer", "session_id") if c in rows.columns] or [writer], folds, seed), features).select("fold", "label", "_x").persist()
-    rows_of = _gathered(data)
-    parts = []
-    for i in range(folds):
-        train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
-        if not train.head(1) or not test.head(1):
-            continue
-        forest = RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=trees, seed=seed).fit(train).transform(test)
-        parts.append(tuple(forest.agg(F.lit(i), F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()))
-    data.unpersist()
-    return rows.sparkSession.createDataFrame(parts, "fold int, n long, accuracy double")
+    group = [c for c in ("writer", "session_id") if c in rows.columns] or [writer]
+    clean = {f: F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)) for f in features}
+    hashed = {"label": F.xxhash64(F.col(writer).cast("string")), "id": F.xxhash64(*(F.col(c).cast("string") for c in dict.fromkeys([writer, *group])), *features)}
+    data = with_folds(kept.withColumns(hashed), group, folds, seed).withColumns(clean)
+    return rows.sparkSession.createDataFrame(forest_cv(data, features, folds, trees, seed), "fold int, n long, accuracy double")
