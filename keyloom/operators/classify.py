@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.boosted import Boosted, boosted_cv, fitted
 from keyloom.operators.forest import forest_cv
 from keyloom.operators.writer_split import hash_share
 
 FOLDS = 5
 TREES, DEPTH, RATE = 100, 3, 0.1
-#: Rows a partition of the training data should hold: every tree is a few jobs over all partitions, so small data pays for each of them.
-PARTITION_ROWS = 20_000
 
 
 def with_folds(rows: DataFrame, group: list[str], folds: int = FOLDS, seed: int = 0) -> DataFrame:
@@ -21,55 +20,37 @@ def with_folds(rows: DataFrame, group: list[str], folds: int = FOLDS, seed: int
     return rows.withColumn("fold", F.floor(hash_share(seed, F.concat_ws("|", *(F.col(g).cast("string") for g in group))) * folds).cast("int"))
 
 
-def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    """``rows`` with the features as one vector; NaN and null count as 0."""
-    clean = rows.withColumns({f: F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)) for f in features})
-    return VectorAssembler(inputCols=features, outputCol="_x").transform(clean)
-
-
-def _gathered(data: DataFrame) -> DataFrame:
-    """Persisted ``data`` in as few partitions as its size asks for."""
-    return data.coalesce(max(1, -(-data.count() // PARTITION_ROWS)))
-
-
-def _trees(trees: int, seed: int) -> GBTClassifier:
-    return GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=seed)
+def _clean(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` in which NaN and null features count as 0."""
+    return rows.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
 
 
 def discriminator_cv(rows: DataFrame, features: list[str], group: list[str], folds: int = FOLDS, trees: int = TREES, seed: int = 0) -> DataFrame:
     """(fold, n, accuracy) of boosted trees that tell label 1 from 0, trained on the other folds. Folds in which a side is missing are skipped."""
-    data = assembled(with_folds(rows, group, folds, seed), features).select("fold", "label", "_x").persist()
-    rows_of = _gathered(data)
-    parts = []
-    for k in range(folds):
-        train, test = rows_of.filter(F.col("fold") != k), rows_of.filter(F.col("fold") == k)
-        if train.select("label").distinct().count() < 2 or not test.head(1):
-            continue
-        scored = _trees(trees, seed).fit(train).transform(test)
-        parts.append(scored.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).first())
-    data.unpersist()
-    return rows.sparkSession.createDataFrame([tuple(p) for p in parts], "fold int, n long, accuracy double")
-
-
-def fit_discriminator(rows: DataFrame, features: list[str], trees: int = TREES, seed: int = 0) -> GBTClassificationModel:
+    data = _clean(with_folds(rows, group, folds, seed), features)
+    return rows.sparkSession.createDataFrame(boosted_cv(data, features, folds, trees, DEPTH, RATE), "fold int, n long, accuracy double")
+
+
+def fit_discriminator(rows: DataFrame, features: list[str], trees: int = TREES) -> Boosted:
     """The same trees on all rows."""
-    data = assembled(rows, features).select("label", "_x").persist()
-    model = _trees(trees, seed).fit(_gathered(data))
-    data.unpersist()
-    return model
+    return fitted(_clean(rows, features).withColumn("fold", F.lit(0)), features, trees, DEPTH, RATE)
 
 
-def importances(model: GBTClassificationModel, features: list[str], top: int = 12) -> list[tuple[str, float]]:
+def importances(model: Boosted, features: list[str], top: int = 12) -> list[tuple[str, float]]:
     """The ``top`` features by importance."""
-    ranked = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+    ranked = sorted(zip(features, model.importances.tolist()), key=lambda x: (-x[1], x[0]))
     return ranked[:top]
 
 
-def best_candidates(candidates: DataFrame, features: list[str], model: GBTClassificationModel, target: str) -> DataFrame:
+def best_candidates(candidates: DataFrame, features: list[str], model: Boosted, target: str) -> DataFrame:
     """Of each target's candidates the one the model takes for real most likely, with ``p_real``; label 1 is real."""
-    from pyspark.ml.functions import vector_to_array
+    shared = candidates.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def real(*columns: pd.Series) -> pd.Series:
+        return pd.Series(1 / (1 + np.exp(-2 * shared.value.margins([c.to_numpy() for c in columns]))))
 
-    scored = model.transform(assembled(candidates, features)).withColumn("p_real", vector_to_array("probability")[1])
+    scored = _clean(candidates, features).withColumn("p_real", real(*features))
     kept = [c for c in candidates.columns if c != target]
     best = scored.groupBy(target).agg(F.max_by(F.struct(*kept, "p_real"), "p_real").alias("b"))
     return best.select(target, "b.*")
@@ -83,7 +64,6 @@ def writer_identification(rows: DataFrame, features: list[str], writer: str = "w
     many = rows.groupBy(writer).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(writer)
     kept = rows.drop("label").join(many, writer, "left_semi")
     group = [c for c in ("writer", "session_id") if c in rows.columns] or [writer]
-    clean = {f: F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)) for f in features}
     hashed = {"label": F.xxhash64(F.col(writer).cast("string")), "id": F.xxhash64(*(F.col(c).cast("string") for c in dict.fromkeys([writer, *group])), *features)}
-    data = with_folds(kept.withColumns(hashed), group, folds, seed).withColumns(clean)
+    data = _clean(with_folds(kept.withColumns(hashed), group, folds, seed), features)
     return rows.sparkSession.createDataFrame(forest_cv(data, features, folds, trees, seed), "fold int, n long, accuracy double")

@@ -47,6 +47,7 @@ def shuffle_timing(events: DataFrame, keys: tuple[str, ...] = KEYS, seed: int =
     return timed.withColumn("release", F.col("_p") + hold).withColumn("press", F.col("_p")).drop("_i", "_g", "_n", "_first", "_m", "_p")
 
 
-def halves(rows: DataFrame, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
-    """``rows`` with ``label`` 0 or 1 by a seeded hash of the session: two samples of the same kind, which nothing should tell apart."""
+def halves(rows: DataFrame, keys: tuple[str, ...] = KEYS, seed: int = 0, of: int | None = None) -> DataFrame:
+    """``rows``, or those with the label ``of``, with ``label`` 0 or 1 by a seeded hash of the session: two samples of the same kind, which nothing should tell apart."""
+    rows = rows if of is None else rows.filter(F.col("label") == of)
     return rows.withColumn("label", (hash_share(seed, F.concat_ws("|", *(F.col(k).cast("string") for k in keys))) < 0.5).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BINS, DEPTH = 32, 5
@@ -109,19 +109,24 @@ def hits(leaves: list[np.ndarray], trees: list[tuple[np.ndarray, np.ndarray, np.
     return right
 
 
-def _keys(df: DataFrame, n: int) -> list[int]:
+def keys_of_tasks(spark: SparkSession, n: int) -> list[int]:
     """``n`` whole numbers that hash partitioning puts into ``n`` partitions, one each."""
-    each = df.sparkSession.range(256 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).orderBy("p")
+    each = spark.range(256 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).orderBy("p")
     return [r["k"] for r in each.collect()]
 
 
+def dealt(rows: DataFrame, keys: list[int]) -> DataFrame:
+    """All of ``rows`` once for each of ``keys_of_tasks`` as ``_task``, in a partition of its own."""
+    return rows.withColumn("_task", F.explode(F.array(*map(F.lit, keys)))).repartition(len(keys), "_task")
+
+
 def forest_cv(rows: DataFrame, features: list[str], folds: int, trees: int, seed: int) -> list[tuple[int, int, float]]:
     """(fold, n, accuracy) of forests over rows of (fold, label, id, features); ``label`` and ``id`` are 64-bit hashes.
 
     Trees are dealt out to tasks, each of which holds all rows, as single-precision numbers; the trees' leaves then meet by fold and slice of its rows.
     """
     tasks = max(1, min(trees, rows.sparkSession.sparkContext.defaultParallelism))
-    keys = _keys(rows, tasks)
+    keys = keys_of_tasks(rows.sparkSession, tasks)
     slices = -(-tasks // folds)
 
     def train(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -154,8 +159,7 @@ def forest_cv(rows: DataFrame, features: list[str], folds: int, trees: int, seed
         return pd.DataFrame({"fold": [key[0]], "n": [len(labels)], "right": [found]})
 
     numbers = [F.col(f).cast("float").alias(f) for f in features]
-    dealt = rows.select(F.explode(F.array(*map(F.lit, keys))).alias("_task"), "fold", "label", "id", *numbers).repartition(tasks, "_task")
-    leaves = dealt.groupBy("_task").applyInPandas(train, _LEAVES)
+    leaves = dealt(rows.select("fold", "label", "id", *numbers), keys).groupBy("_task").applyInPandas(train, _LEAVES)
     scored = leaves.repartition(folds * slices, "fold", "slice").groupBy("fold", "slice").applyInPandas(score, "fold int, n long, right long")
     every = scored.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).orderBy("fold")
     return [(r["fold"], r["n"], r["right"] / r["n"]) for r in every.collect()]

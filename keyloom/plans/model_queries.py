@@ -88,7 +88,7 @@ def tier1_gates(spark: SparkSession, d: str) -> DataFrame:
     mean = lambda rows, name: classify.discriminator_cv(rows, COLUMNS, ["writer"]).agg(F.avg("accuracy").alias(name), F.sum("n").alias(f"_{name}"))
     even, both, best = _gate_sides(spark, d)
     metrics = mean(even, "teeth").crossJoin(mean(both, "shuffle_teeth")).crossJoin(mean(best, "model"))
-    metrics = metrics.crossJoin(validity(spark, d).agg(F.avg(F.col("valid").cast("double")).alias("validity"))).crossJoin(real_vs_real(spark, d).agg(F.avg("accuracy").alias("control")))
+    metrics = metrics.crossJoin(validity(spark, d).agg(F.avg(F.col("valid").cast("double")).alias("validity"))).crossJoin(mean(controls.halves(both, KEYS, 0, 1), "control").drop("_control"))
     metrics = metrics.select("teeth", "shuffle_teeth", "model", "validity", "control", F.col("_shuffle_teeth").alias("n"))
     return rounded(gates.apply_gates(metrics, gates.TIER1, "n", gates.LEAST_PAIRS))
 
