@@ -30,7 +30,7 @@ def test_trees_against_plain_boosting():
 
 
 def test_folds_train_in_one_job_each(spark):
-    rows = spark.range(4_000).select((F.col("id") % 50).alias("writer"), (F.col("id") % 2).cast("int").alias("label"), (F.rand(1) + F.col("id") % 2 * 0.4).alias("a"), F.lit(None).cast("double").alias("b")).localCheckpoint()
+    rows = spark.range(4_000).select(F.floor(F.col("id") / 80).alias("writer"), (F.col("id") % 2).cast("int").alias("label"), (F.rand(1) + F.col("id") % 2 * 0.4).alias("a"), F.lit(None).cast("double").alias("b")).localCheckpoint()
     jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds"))
     spark.sparkContext.setJobGroup("folds", "")
     try:
