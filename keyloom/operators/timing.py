@@ -38,11 +38,15 @@ def burst_lengths(events: DataFrame, pause_ms: float = PAUSE_MS, keys: tuple[str
     return _with_bursts(events, pause_ms, keys).filter("burst is not null").select(*keys, F.lit(name).alias("feature"), F.col("burst").alias("value"))
 
 
+def _timed(bursts: DataFrame, pause_ms: float) -> DataFrame:
+    """``bursts`` (of ``_with_bursts``) with a column for each of FEATURES, null where an event has none."""
+    return bursts.withColumns({"hold": F.col("release") - F.col("press"), "pause": F.when(F.col("iki") > pause_ms, F.col("iki"))})
+
+
 def feature_pool(events: DataFrame, pause_ms: float = PAUSE_MS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, feature, value) of iki, hold, pause and burst; sessions never touch each other. One pass over the events."""
-    named = {"iki": F.col("iki"), "hold": F.col("release") - F.col("press"), "pause": F.when(F.col("iki") > pause_ms, F.col("iki")), "burst": F.col("burst")}
-    each = F.array(*(F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in named.items()))
-    return _with_bursts(events, pause_ms, keys).select(*keys, F.explode(each).alias("f")).select(*keys, "f.*").filter("value is not null")
+    each = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in FEATURES))
+    return _timed(_with_bursts(events, pause_ms, keys), pause_ms).select(*keys, F.explode(each).alias("f")).select(*keys, "f.*").filter("value is not null")
 
 
 def timing_profile(events: DataFrame) -> DataFrame:
@@ -90,21 +94,21 @@ def _corr(a: Column, b: Column) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, the nine SERIAL columns): order-sensitive features of a session's log intervals; too short sessions get each feature's null value.
-
-    x_i = log1p of the interval after event i, n of them. One exchange by session, windows, one aggregate; no join.
-    """
+def _serial_rows(events: DataFrame, keys: tuple[str, ...], carried: tuple[str, ...] = ()) -> DataFrame:
+    """What the serial features are aggregated from, a row an event: x_i = log1p of the interval after event i, n of them."""
     order = W.partitionBy(*keys).orderBy("seq")
     whole, block = W.partitionBy(*keys), W.partitionBy(*keys, "block")
-    base = events.select(*keys, "seq", "press", "release", "ch").withColumns({"_next": F.lead("press").over(order), "i": F.row_number().over(order) - 1})
+    base = events.select(*keys, "seq", "press", "release", "ch", *carried).withColumns({"_next": F.lead("press").over(order), "i": F.row_number().over(order) - 1})
     # To the nanosecond: sums of bin centres would otherwise break ties with the median by their rounding. The last event has no x and keeps its session.
     gap = F.round(F.col("_next") - F.col("press"), 6)
     timed = F.col("_next").isNotNull()
     rows = base.withColumns({"x": F.when(timed, F.log1p(F.greatest(gap, F.lit(0.0)))), "h": F.when(timed & F.col("release").isNotNull(), F.log1p(F.greatest(F.col("release") - F.col("press"), F.lit(0.0)))), "block": F.floor(F.col("i") / 8)})
     rows = rows.withColumns({f"x{k}": F.lead("x", k).over(order) for k in (1, 2, 3)} | {"n": F.count("x").over(whole), "med": F.percentile("x", 0.5).over(whole), "bs": F.stddev_pop("x").over(block), "bc": F.count("x").over(block)})
-    rows = rows.withColumns({"fast": F.col("x") <= F.col("med"), "next_fast": F.col("x1") <= F.col("med"), "half": F.col("i") < F.floor(F.col("n") / 2), "spaced": F.coalesce(F.col("ch") == " ", F.lit(False))})
-    one = rows.groupBy(*keys).agg(
+    return rows.withColumns({"fast": F.col("x") <= F.col("med"), "next_fast": F.col("x1") <= F.col("med"), "half": F.col("i") < F.floor(F.col("n") / 2), "spaced": F.coalesce(F.col("ch") == " ", F.lit(False))})
+
+
+def _serial_sums() -> list[Column]:
+    return [
         F.first("n").alias("n"),
         F.stddev_pop("x").alias("sd"),
         *(_corr(F.col("x"), F.col(f"x{k}")).alias(f"r{k}") for k in (1, 2, 3)),
@@ -122,12 +126,15 @@ def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
         F.avg(F.when(F.col("spaced"), F.col("x"))).alias("mw"),
         F.avg(F.when(~F.col("spaced"), F.col("x"))).alias("mo"),
         F.count_if(F.col("spaced") & F.col("x").isNotNull()).alias("nw"),
-    )
+    ]
+
+
+def _serial_values() -> list[Column]:
+    """The nine SERIAL columns of the sums of a session."""
     n, sd = F.col("n"), F.col("sd")
     varied = sd > 1e-9
     either = lambda ok, value, null: F.coalesce(F.when(ok, value), F.lit(null))
-    return one.select(
-        *keys,
+    return [
         *(either((n > k + 2) & varied, F.col(f"r{k}"), 0.0).alias(f"lag{k}") for k in (1, 2, 3)),
         either((n > 3) & (sd * sd > 1e-12), F.col("msd") / F.nullif(sd * sd, F.lit(0.0)), 2.0).alias("von_neumann"),
         either(n > 4, F.col("ff") / F.greatest(F.col("f"), F.lit(1)) - F.col("pf"), 0.0).alias("markov_excess"),
@@ -135,21 +142,33 @@ def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
         either((n >= 8) & varied, F.abs(F.col("m1") - F.col("m2")) / F.nullif(sd, F.lit(0.0)), 0.0).alias("drift"),
         either((n > 3) & (F.col("nh") > 3) & (F.col("sh") > 1e-9) & (F.col("sxh") > 1e-9), F.col("rh"), 0.0).alias("hold_gap"),
         either((n > 3) & (F.col("nw") >= 1) & (n - F.col("nw") >= 3), F.col("mw") - F.col("mo"), 0.0).alias("word_boundary"),
-    )
+    ]
+
+
+def serial_features(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, the nine SERIAL columns): order-sensitive features of a session's log intervals; too short sessions get each feature's null value.
+
+    One exchange by session, windows, one aggregate; no join.
+    """
+    return _serial_rows(events, keys).groupBy(*keys).agg(*_serial_sums()).select(*keys, *_serial_values())
 
 
 def feature_vector(events: DataFrame, counts: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """41 named columns a session (37 without counts): per feature five log quantiles, mean, deviation and count, then the serial ones."""
-    pool = feature_pool(events, keys=keys)
+    """41 named columns a session (37 without counts): per feature five log quantiles, mean, deviation and count, then the serial ones.
+
+    The events are made, ordered and aggregated once for all of them.
+    """
+    named = _timed(_with_bursts(events, PAUSE_MS, keys), PAUSE_MS)
+    rows = _serial_rows(named, keys, FEATURES)
     aggs = []
     for f in FEATURES:
-        v = F.when(F.col("feature") == f, F.log1p("value"))
+        v = F.log1p(f)
         aggs += [F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias(f"_{f}"), F.avg(v).alias(f"{f}_mean"), F.stddev_pop(v).alias(f"{f}_sd"), F.count(v).cast("double").alias(f"{f}_count")]
-    wide = pool.groupBy(*keys).agg(*aggs)
+    wide = rows.groupBy(*keys).agg(*aggs, *_serial_sums())
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     columns = []
     for f in FEATURES:
         columns += [zero(F.get(F.col(f"_{f}"), F.lit(i))).alias(f"{f}_q{q * 100:g}") for i, q in enumerate(QUANTILES)]
         columns += [zero(F.col(f"{f}_mean")).alias(f"{f}_mean"), zero(F.col(f"{f}_sd")).alias(f"{f}_sd")]
         columns += [zero(F.col(f"{f}_count")).alias(f"{f}_count")] if counts else []
-    return wide.select(*keys, *columns).join(serial_features(events, keys), list(keys))
+    return wide.select(*keys, *columns, *_serial_values())
